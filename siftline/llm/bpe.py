@@ -9,20 +9,20 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import accumulate
+from itertools import islice
 
 import numpy as np
 
-_PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-į]*")
-_INNER = re.compile(r"\s\s|^\s|\s$")
-_LOOSE = re.compile(r" (?=[\s\x1c-\x1f\x85\xa0]|$)")
+_PLAIN = re.compile("[\x21-\x7e\xa1-\u012f]+")
+_SPACE = "[\\s\x1c-\x1f\x85\xa0]"
+_LOOSE = re.compile(f"[ \n](?={_SPACE}| $)|[^\\S \n]| $|[\x1c-\x1f\x85\xa0]")
 _U4 = np.dtype("<u4")
 
 
 class ChunkEncoder:
     """ids of whole texts as little-endian unsigned 32-bit bytes. `limit`: chunks kept per worker."""
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 1_200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -38,6 +38,7 @@ class ChunkEncoder:
             self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
             for t, i in vocab.items():
                 self.ends[i] = t.endswith("</w>")
+        self.newline_bytes = np.array([self.newline or 0], dtype=_U4).tobytes()
         self.chunks: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> list[int]:
@@ -46,43 +47,56 @@ class ChunkEncoder:
     def _alone(self, text: str) -> bytes:
         return np.array(self._ids(text), dtype=_U4).tobytes()
 
-    def _bulk(self, some: list[str]) -> list[bytes] | None:
-        """ids of many chunks by one call, cut at the newline ids that stand between them."""
-        ids = np.array(self._ids("\n ".join(some)), dtype=_U4)
-        marks = np.flatnonzero(ids == self.newline)
-        within = [c.count("\n") for c in some]
-        if len(marks) != sum(within) + len(some) - 1:
-            return None
-        ends = [*(marks[i] * 4 for i in accumulate((k + 1 for k in within[:-1]), initial=-1))][1:] + [len(ids) * 4]
-        data, at, out = ids.tobytes(), 0, []
-        for e in ends:
-            out.append(data[at:e])
-            at = e + 4
-        return out
-
-    def _bulk_words(self, some: list[str]) -> list[bytes] | None:
-        """The same where white space leaves no id: an end-of-word id closes each run of letters or signs."""
-        out = []
-        for c, e in zip(some, self.tok.encode_batch_fast(some, add_special_tokens=False)):
-            out.append(np.array(e.ids, dtype=_U4).tobytes())
-        return out
-
-    def _learn(self, new: list[str]) -> None:
-        plain, put = [], self.chunks
-        for c in new:
-            if c and _PLAIN.fullmatch(c) and not _INNER.search(c):
-                plain.append(c)
-            elif not self.words:
-                put[c] = self._alone(self.lead + c)
+    def _bulk(self, some: list[str], lead: str) -> list[bytes]:
+        """ids of many chunks without inner space by one call; an id that ends each of them tells where to cut."""
         if self.words:
-            plain = new
-        for at in range(0, len(plain), 1000):
-            some = plain[at : at + 1000]
-            if self.words:
-                put.update(zip(some, self._bulk_words(some)))
-                continue
-            got = self._bulk(["", *some])
-            put.update(zip(some, got[1:] if got else (self._alone(self.lead + c) for c in some)))
+            ids = np.array(self._ids(" ".join(some)), dtype=_U4)
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            cuts = [0, *(stops * 4).tolist()]
+            gap = 0
+        else:
+            ids = np.array(self._ids(lead + ("\n" + lead).join(some)), dtype=_U4)
+            stops = np.append(np.flatnonzero(ids == self.newline), len(ids))
+            cuts = [-4, *(stops * 4).tolist()]
+            gap = 4
+        if len(stops) != len(some):
+            return [self._alone(lead + c) for c in some]
+        data = ids.tobytes()
+        return [data[a + gap : b] for a, b in zip(cuts, cuts[1:])]
+
+    def _learn(self, new: list[str], put: dict[str, bytes]) -> None:
+        """Letters and the sign that closes them are always cut apart, so words are encoded without it."""
+        known, stems, made, rest = self.chunks, ({}, {}), [], []
+        for c in new:
+            nl = not self.words and c[:1] == "\n"
+            core = c[1:] if nl else c
+            tail = core[-1:] if core[-1:] in (".", ",", ";", ":", "!", "?") else ""
+            stem = core[: len(core) - len(tail)]
+            if stem.isalpha() and _PLAIN.fullmatch(core):
+                if ("\n" + stem if nl else stem) not in known:
+                    stems[nl][stem] = None
+                made.append((c, nl, stem, tail))
+            else:
+                rest.append(c)
+        for nl in (False, True):
+            todo = list(stems[nl])
+            for at in range(0, len(todo), 1000):
+                some = todo[at : at + 1000]
+                got = self._bulk(some, "" if nl else self.lead)
+                put.update(zip(("\n" + x for x in some), (self.newline_bytes + x for x in got)) if nl else zip(some, got))
+        for c, nl, stem, tail in made:
+            if tail:
+                key = "\n" + stem if nl else stem
+                x = put.get(key)
+                put[c] = (known[key] if x is None else x) + self._tail(tail)
+        for c in rest:
+            put[c] = self._alone(c if c[:1] == "\n" else self.lead + c) if c else b""
+
+    def _tail(self, sign: str) -> bytes:
+        got = self.chunks.get("\0" + sign)
+        if got is None:
+            got = self.chunks["\0" + sign] = self._alone(sign)
+        return got
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
@@ -90,21 +104,23 @@ class ChunkEncoder:
         for i, t in enumerate(texts):
             if not t:
                 out[i] = b""
-            elif self.words or not _LOOSE.search(t):
-                split[i] = t.split(" ")
+            elif self.words:
+                split[i] = t.replace("\n", " ").split(" ")
+            elif not _LOOSE.search(t) and "\0" not in t:
+                split[i] = t.replace("\n", " \n").split(" ")
             else:
                 out[i] = self._alone(t)
         known, need = self.chunks, set()
         for s in split.values():
             need.update(s if self.words else s[1:])
         new = need.difference(known)
-        if len(known) + len(new) > self.limit and known:
-            known.clear()
-            new = need
-        self._learn(list(new))
+        if len(known) > self.limit:  # the oldest chunks are the frequent ones
+            known = self.chunks = dict(islice(known.items(), self.limit // 2))
+            new = need.difference(known)
+        self._learn(list(new), known)
         get = known.__getitem__
         for i, s in split.items():  # the first chunk has no space before it
-            out[i] = b"".join(map(get, s)) if self.words else self._alone(s[0]) + b"".join(map(get, s[1:]))
+            out[i] = b"".join(map(get, s)) if self.words else (self._alone(s[0]) if s[0] else b"") + b"".join(map(get, s[1:]))
         return out
 
 

@@ -97,18 +97,18 @@ def _found(text: Column, kind: str) -> Column:
 
 def candidates(text: Column) -> Column:
     """array<struct<kind, start, stop, base, votes>>; votes: a bit for each labeler."""
-    parts = []
-    for k, kind in enumerate(ALL):
 
-        def judge(x: Column, k: int = k, kind: str = kind) -> Column:
+    def judge_of(k: int, kind: str):
+        def judge(x: Column) -> Column:
             before = F.lower(F.substring(text, F.greatest(x["start"] - 23, F.lit(1)), F.least(x["start"], F.lit(24))))
             after = F.substring(text, x["start"] + x["size"] + 1, F.lit(1))
             bits = [F.when(v, F.lit(1 << i)).otherwise(F.lit(0)) for i, v in enumerate(_votes(kind, x["m"], before, after))]
             base = valid(kind, x["m"]) if kind in KINDS else F.lit(False)
             return F.struct(F.lit(k).alias("kind"), x["start"].alias("start"), (x["start"] + x["size"]).alias("stop"), base.alias("base"), sum(bits[1:], bits[0]).alias("votes"))
 
-        parts.append(F.transform(_found(text, kind), judge))
-    return F.concat(*parts)
+        return judge
+
+    return F.concat(*(F.transform(_found(text, kind), judge_of(k, kind)) for k, kind in enumerate(ALL)))
 
 
 def label_model(counts: dict[tuple[int, int], int], rounds: int = 60) -> tuple[dict[tuple[int, int], float], list[float], list[float]]:
@@ -169,7 +169,8 @@ def _joined(spans: str) -> Column:
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
     got = find(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), keep_text=False)
-    n = [F.size(F.filter("_base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
+    count = lambda k: F.size(F.filter("_base", lambda s: s["kind"] == k)).cast("long")
+    n = [count(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
     return got.select("doc_id", *n, F.sha2(_joined("_base").cast("binary"), 256).alias("base_sha256"), _joined("_spans").alias("spans"))
 
 
