@@ -51,7 +51,7 @@ TOKENIZERS = {"plain": tokens, "verbatim": lambda c: F.array(c)}
 def terms(c: Column, normalizer: str = "latin", tokenizer: str = "plain") -> Column:
     """Normalised, cut tokens of a text; null gives none."""
     norm = NORMALIZERS[normalizer](c)
-    return F.coalesce(F.transform(TOKENIZERS[tokenizer](norm), cut_bytes), F.array().cast("array<string>"))
+    return F.coalesce(F.transform(TOKENIZERS[tokenizer](norm), lambda t: cut_bytes(t)), F.array().cast("array<string>"))
 
 
 def normalize_term(t: str) -> str:

@@ -64,7 +64,7 @@ def term_hits(postings: DataFrame, node, prefix: bool = False) -> DataFrame:
     any_c = [term_condition(Term(x), prefix, False) for x in texts]
     own = [term_condition(t, prefix) for t in ls]
     rows = postings.where(reduce(lambda a, b: a | b, any_c))
-    cap = lambda c: F.least(F.sum(F.when(c, F.col("tf"))), F.lit(TF_CAP))
+    cap = lambda c: F.least(F.coalesce(F.sum(F.when(c, F.col("tf"))), F.lit(0)), F.lit(TF_CAP))
     per_section = rows.groupBy("doc_id", "section_id").agg(
         *[cap(c).alias(f"f{i}") for i, c in enumerate(own)], *[F.max(c).alias(f"a{i}") for i, c in enumerate(any_c)], F.max(reduce(lambda a, b: a | b, own)).alias("own"),
     )
