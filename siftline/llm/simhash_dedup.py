@@ -50,6 +50,11 @@ def anchors(half: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return row, out[row, col]
 
 
+def bits_apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of longs (unsigned: a signed count would take absolute values)."""
+    return np.bitwise_count((a ^ b).view(np.uint64))
+
+
 def forest(fps: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
     """Links that connect whatever links of at most `radius` bits connect among distinct fingerprints."""
     left, out = fps, []
@@ -57,7 +62,7 @@ def forest(fps: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             x = queue.pop()
-            near = np.bitwise_count(left ^ x) <= radius
+            near = bits_apart(left, x) <= radius
             if near.any():
                 found = left[near]
                 left = left[~near]
@@ -75,7 +80,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts, ends = np.append(0, edges), np.append(edges, len(c))
         pair = ends - starts == 2
         a, b = f[starts[pair]], f[starts[pair] + 1]
-        near = (np.bitwise_count(a ^ b) <= RADIUS) & (a != b)
+        near = (bits_apart(a, b) <= RADIUS) & (a != b)
         us, vs = [a[near]], [b[near]]
         for s, e in zip(starts[ends - starts > 2], ends[ends - starts > 2]):
             got = forest(np.unique(f[s:e]))
