@@ -39,6 +39,15 @@ def terms(word: str) -> list[str]:
     return [word, *("^" + word[:n] for n in PREFIXES if len(word) >= n)]
 
 
+def held_terms(text: str) -> list[str]:
+    """The terms of a text; those that stand more than once also with a plus sign."""
+    n: Counter = Counter()
+    for w, k in Counter(WORD.findall(text.lower())).items():
+        for t in terms(w):
+            n[t] += k
+    return [*n, *(t + "+" for t, k in n.items() if k > 1)]
+
+
 def style(text: str) -> list[float]:
     n = max(1, len(text))
     shout = sum(1 for w in re.findall(r"[A-Z]{3,}", text) if len(w) < 20)
@@ -49,7 +58,7 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen = (Counter(), Counter())
     for b in batches:
         for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            seen[y].update({x for w in set(WORD.findall(t.lower())) for x in terms(w)})
+            seen[y].update(held_terms(t))
     keys = [k for k in seen[1]]
     yield pa.RecordBatch.from_pydict({"term": pa.array(keys, pa.string()), "pos": pa.array([seen[1][k] for k in keys], pa.int64()), "neg": pa.array([seen[0][k] for k in keys], pa.int64())})
     rest = [k for k in seen[0] if k not in seen[1]]
@@ -61,18 +70,20 @@ class Reader:
 
     def __init__(self, chosen: list[str], limit: int = 300_000):
         self.at, self.memo, self.limit = {t: i for i, t in enumerate(chosen)}, {}, limit
+        self.plain = {t.rstrip("+") for t in chosen}
 
     def __call__(self, text: str) -> set[int]:
-        memo, out = self.memo, set()
+        memo, n = self.memo, {}
         if len(memo) > self.limit:
             memo.clear()
-        for w in set(WORD.findall(text.lower())):
+        for w, k in Counter(WORD.findall(text.lower())).items():
             got = memo.get(w)
             if got is None:
-                got = memo[w] = tuple(self.at[t] for t in terms(w) if t in self.at)
-            if got:
-                out.update(got)
-        return out
+                got = memo[w] = tuple(t for t in terms(w) if t in self.plain)
+            for t in got:
+                n[t] = n.get(t, 0) + k
+        at = self.at
+        return {at[x] for t, k in n.items() for x in ((t, t + "+") if k > 1 else (t,)) if x in at}
 
 
 def label_model(votes: np.ndarray, prior: float = 0.5, rounds: int = 40) -> np.ndarray:
@@ -105,7 +116,7 @@ def logistic(x: np.ndarray, y: np.ndarray, decay: float = 3e-4, rounds: int = 40
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 2000, most_terms: int = 600, voters: int = 12, least_ratio: float = 16.0) -> tuple[list[str], np.ndarray] | None:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 2000, most_terms: int = 800, voters: int = 12, least_ratio: float = 16.0) -> tuple[list[str], np.ndarray] | None:
     """(terms, weights of terms, style rules and constant)."""
     rows = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     rows = rows.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("y")).where("y IN (0, 1)")
