@@ -18,6 +18,7 @@ are kept by resample().
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -65,8 +66,8 @@ def softmax_fit(x: np.ndarray, y: np.ndarray, k: int, decay: float = 1e-3, round
     return w
 
 
-def posteriors(docs: DataFrame, labels: DataFrame, domains: tuple[str, ...] = DOMAINS, per_class: int = 1500) -> Column:
-    """array<double> over the domains, as an expression of the column `text`."""
+def posteriors(docs: DataFrame, labels: DataFrame, domains: tuple[str, ...] = DOMAINS, per_class: int = 1500) -> tuple[Column, Callable[[str], Column]]:
+    """(features of the column `text`, and from the column that holds them each domain's logit)."""
     rows = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(domain_of(domains)).alias("y")).where("y IS NOT NULL")
     few = None
     for d in range(len(domains)):
@@ -77,7 +78,7 @@ def posteriors(docs: DataFrame, labels: DataFrame, domains: tuple[str, ...] = DO
     sample = materialize(docs.select("doc_id", t.alias("text")).join(F.broadcast(few), "doc_id"), "mix-sample")
     n = {r[0]: r[1] for r in sample.groupBy("y").count().collect()}
     if len(n) < 2:
-        return F.array(*[F.lit(1.0 / len(domains))] * len(domains))
+        return F.array(F.lit(0.0)), lambda x: F.array(*[F.lit(0.0)] * len(domains))
     weights = None
     if "toxic" in domains:
         hit = F.when(F.col("y") == domains.index("toxic"), 1).otherwise(0)
@@ -105,10 +106,8 @@ def posteriors(docs: DataFrame, labels: DataFrame, domains: tuple[str, ...] = DO
     true = {r[0]: r[1] for r in rows.groupBy("y").count().collect()}
     flat = w[:-1] / sd[:, None]
     const = w[-1] - mean @ flat + np.array([math.log(true.get(d, 0) + 0.5) - math.log(n.get(d, 0) + 0.5) for d in range(len(domains))])
-    logits = lambda f: F.array(*[sum((f[i] * F.lit(float(flat[i, d])) for i in range(len(flat))), F.lit(float(const[d]))) for d in range(len(domains))])
-    z = logits(F.array(*features(t)))
-    e = F.transform(z, lambda a: F.exp(a - F.array_max(z)))
-    return e
+    logits = lambda x: F.array(*[sum((F.col(x)[i] * F.lit(float(flat[i, d])) for i in range(len(flat))), F.lit(float(const[d]))) for d in range(len(domains))])
+    return F.array(*features(t)), logits
 
 
 def _rate(p: Column, steps: list[list[float]]) -> Column:
@@ -144,11 +143,13 @@ def fit_rates(rated: DataFrame, targets: list[float], cover: bool, rounds: int =
 
 
 def _measured(docs: DataFrame, labels: DataFrame, domains: tuple[str, ...], keep: list[str]) -> DataFrame:
-    e = posteriors(docs, labels, domains)
+    x, logits = posteriors(docs, labels, domains)
     t = text_or_empty()
-    slim = docs.select(*keep, F.regexp_count(t, F.lit(r"\S+")).cast("long").alias("tokens"), e.alias("e"), F.xxhash64(t).alias("_th"))
-    total = F.aggregate("e", F.lit(0.0), lambda a, b: a + b)
-    return materialize(slim.withColumn("p", F.transform("e", lambda a: a / total)).drop("e"), "mix")
+    slim = docs.select(*keep, F.regexp_count(t, F.lit(r"\S+")).cast("long").alias("tokens"), x.alias("_x"), F.xxhash64(t).alias("_th"))
+    # one step at a time: what is used more than once is computed once
+    slim = slim.withColumn("_z", logits("_x")).withColumn("_top", F.array_max("_z"))
+    slim = slim.withColumn("_e", F.transform("_z", lambda a: F.exp(a - F.col("_top")))).withColumn("_sum", F.aggregate("_e", F.lit(0.0), lambda a, b: a + b))
+    return materialize(slim.withColumn("p", F.transform("_e", lambda a: a / F.col("_sum"))).drop("_x", "_z", "_top", "_e", "_sum"), "mix")
 
 
 def _copies(rate: Column) -> Column:
