@@ -165,7 +165,8 @@ class SearchEngine:
             batch = batch.withColumn(name, F.coalesce(F.col(name).cast(kind), F.lit(0).cast(kind)) if name in batch.columns else F.lit(0).cast(kind))
         checked = self._shape(batch).withColumn("_error", schema.row_error(self.schema)).persist()
         good = checked.where("_error IS NULL").drop("_error")
-        first = 0 if self.docs is None else (self.docs.agg(F.max("doc_id")).first()[0] or -1) + 1
+        last = None if self.docs is None else self.docs.agg(F.max("doc_id")).first()[0]
+        first = 0 if last is None else last + 1
         order = "_order" if "_order" in batch.columns else "uri"
         rows = store.number(good, first, order)
         cols = ["doc_id", "namespace", "uri", "schema", "creation_ts_ms", "ttl_ms", "score", "deleted", "props"]

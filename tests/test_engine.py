@@ -139,6 +139,6 @@ def test_small_parts():
     assert t1 and t2 and t1 not in c.held and t2 in c.held and c.add(Frame(), 3, 3) == 0
     text = "one two three four five"
     assert snippet.window(text, snippet.spans(text), 2, 13) == "two three"
-    assert snippet.find([("p", "日本 foo 🙂 foo")], [("foo", False)], 9, 0)[1][1:5] == (16, 3, 9, 3)
+    assert snippet.find([("p", "日本 foo 🙂 foo")], [("foo", False)], 9, 0)[1][1:5] == (16, 3, 10, 3)
     assert snippet.walk({"a": [{"b": ["x"]}, {"b": ["y", "z"]}]}, "a.b") == [("a[0].b", "x"), ("a[1].b[0]", "y"), ("a[1].b[1]", "z")]
     assert str(Term("a", "p.q")) == "p.q:a"
