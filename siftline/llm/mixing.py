@@ -4,14 +4,14 @@ A softmax classifier, fitted on a bounded draw of labelled rows, predicts for ev
 is of each domain (low, high, toxic, by the labels table). Nonnegative rates per document are then
 fitted by projected gradient steps so that the expected token totals of the domains match the targets in
 least squares: each step is one aggregation over all documents of rate x tokens x posterior, and moves
-every rate against the misfit, in the metric of the tokens' second moments, cutting it at zero. Rates are a fold over the
+every rate against the misfit, in the metric of the tokens' second moments, cutting it at zero (at one, to cover). Rates are a fold over the
 steps' vectors, so no state is kept between passes.
 
 Bounds, parameters: `per_class` labelled rows a domain for the fit; everything else reads all rows.
 
 Defined results: null and empty texts have no tokens and get the rate of their posteriors; a null doc_id
 is fine; documents without label are predicted like all; without labels posteriors are even; targets of
-an absent domain leave a misfit; repeated rows are rated each; an empty table gives no row; extra columns
+an absent domain leave a misfit, as do targets that posteriors are too soft to reach with rates of one or more; repeated rows are rated each; an empty table gives no row; extra columns
 are kept by resample().
 """
 
@@ -110,17 +110,20 @@ def posteriors(docs: DataFrame, labels: DataFrame, domains: tuple[str, ...] = DO
     return F.array(*features(t)), logits
 
 
-def _rate(p: Column, steps: list[list[float]]) -> Column:
-    rate = F.lit(1.0)
+def _rate(p: Column, steps: list[list[float]], cover: bool) -> Column:
+    rate, least = F.lit(1.0), F.lit(1.0 if cover else 0.0)
     if not steps:
         return rate
     all_steps = F.array(*[F.array(*map(F.lit, s)) for s in steps])
     dot = lambda s: F.aggregate(F.zip_with(p, s, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    return F.aggregate(all_steps, rate, lambda r, s: F.greatest(F.lit(0.0), r - dot(s)))
+    return F.aggregate(all_steps, rate, lambda r, s: F.greatest(least, r - dot(s)))
 
 
-def fit_rates(rated: DataFrame, targets: list[float], cover: bool, rounds: int = 25, close: float = 1e-4) -> list[list[float]]:
-    """The steps whose fold gives each document's rate. `rated`: tokens, p."""
+def fit_rates(rated: DataFrame, targets: list[float], cover: bool, rounds: int = 25, close: float = 1e-4, most: float = 4.0) -> list[list[float]]:
+    """The steps whose fold gives each document's rate. `rated`: tokens, p.
+
+    With `cover` totals start where no domain shrinks and grow, up to `most` times that, with what rates of one or more make of any domain.
+    """
     k = len(targets)
     part = [F.col("p")[d] for d in range(k)]
     sums = [F.sum(F.col("tokens") * a) for a in part] + [F.sum(F.col("tokens") * a * b) for a in part for b in part]
@@ -130,15 +133,24 @@ def fit_rates(rated: DataFrame, targets: list[float], cover: bool, rounds: int =
     if total <= 0:
         return []
     w = np.array(targets) / sum(targets)
-    want = w * (max(h / x for h, x in zip(have, w) if x > 0) if cover else total)
+    least = lambda: max(h / x for h, x in zip(have, w) if x > 0)
+    scale = start = least() if cover else total
     back = np.linalg.inv(moment + 1e-6 * np.trace(moment) * np.eye(k))
     steps: list[list[float]] = []
     for _ in range(rounds):
+        if cover:
+            scale = min(max(scale, least()), most * start)
+        want = w * scale
         if np.abs(have - want).max() <= close * total:
             break
         steps.append((back @ (have - want)).tolist())
-        now = rated.withColumn("r", _rate(F.col("p"), steps))
+        now = rated.withColumn("r", _rate(F.col("p"), steps, cover))
+        was = have.sum()
         have = np.array([float(x or 0) for x in now.agg(*[F.sum(F.col("tokens") * F.col("r") * a).alias(f"s{i}") for i, a in enumerate(part)]).first()])
+        if cover and have.sum() > most * start:  # totals are convex in a step: this part of it stays within
+            part_of = max(0.0, (most * start - was) / (have.sum() - was))
+            steps[-1] = [x * part_of for x in steps[-1]]
+            break
     return steps
 
 
@@ -162,15 +174,15 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     targets = targets or TARGETS
     domains = tuple(d for d in DOMAINS if d in targets)
     rated = _measured(docs, labels, domains, ["doc_id"])
-    rate = _rate(F.col("p"), fit_rates(rated, [targets[d] for d in domains], cover))
+    rate = _rate(F.col("p"), fit_rates(rated, [targets[d] for d in domains], cover), cover)
     out = rated.withColumn("rate", rate)
     return out.select("doc_id", "tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(domains)], "rate", _copies(F.col("rate")).alias("copies"))
 
 
 def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float], cover: bool = True) -> DataFrame:
-    """The rows, each as often as its copies. With `cover` no domain shrinks, so no rate falls below one for lack of room."""
+    """The rows, each as often as its copies. With `cover` no rate is below one, so every row stays."""
     domains = tuple(d for d in DOMAINS if d in targets)
     rated = _measured(docs, labels, domains, docs.columns)
-    rate = _rate(F.col("p"), fit_rates(rated.select("tokens", "p"), [targets[d] for d in domains], cover))
+    rate = _rate(F.col("p"), fit_rates(rated.select("tokens", "p"), [targets[d] for d in domains], cover), cover)
     many = rated.withColumn("_copies", _copies(rate))
     return many.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
