@@ -3,6 +3,7 @@ import itertools
 import re
 
 import numpy as np
+import pytest
 import xxhash
 
 from siftline.llm import components, fingerprints, simhash_dedup, suffix_dedup
@@ -114,29 +115,47 @@ def test_repeats_against_brute_force(docs, empty):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
-def test_repeats_over_segment_ends(spark, monkeypatch):
+@pytest.mark.parametrize("parts", [2, 13])
+def test_repeats_over_segment_and_range_ends(spark, parts):
+    """Few letters and shared passages, small segments, ranges whose ends cut hot ranks."""
     rng = np.random.default_rng(4)
-    monkeypatch.setattr(suffix_dedup, "SEGMENT", 1 << 10)
-    parts = ["".join(rng.choice(list("abcdefgh"), n)) for n in (300, 130, 700, 99, 101)]
-    texts = ["".join(parts[i] for i in rng.integers(0, 5, rng.integers(1, 9))) for _ in range(25)] + ["xy" * 900, "z" * 2500]
+    pieces = ["".join(rng.choice(list("abcdefgh"), n)) for n in (300, 130, 700, 99, 101)]
+    texts = ["".join(pieces[i] for i in rng.integers(0, 5, rng.integers(1, 9))) for _ in range(25)] + ["xy" * 900, "z" * 2500]
+    line = "".join(rng.choice(list("abc"), 80))
+    texts += [f"{i}".zfill(9) + line + f"{i * 7}".zfill(12) + pieces[0][i % 90 :][:60] for i in range(120)]
     rows = [(i, t) for i, t in enumerate(texts)]
-    buf = b"".join(t.encode() for t in texts)
-    assert len(buf) > 1 << 13
-    # the functions themselves, in this process
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), segment=1 << 10).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert sorted(tuple(r) for r in got) == brute_repeats(rows)
+
+
+def test_repeats_among_texts_of_one_doc_id(spark):
+    """Texts that share a doc_id, or have none, are documents in the order of their hashes; identical rows are one."""
+    rng = np.random.default_rng(6)
+    piece = "".join(rng.choice(list("abcdefgh"), 150))
+    rows = [(d, "".join(rng.choice(list("abcdefgh"), 50)) + piece[: 100 + 10 * i]) for d in (None, 3, 3, 5) for i in range(5)]
+    rows += [rows[0]] * 4 + [rows[7]] * 3
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    once = sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0, hashlib.sha256(r[1].encode()).hexdigest()))
+    want = dict(zip(once, brute_repeats(once)))
+    key = lambda r: (r[0] is not None, *(x or 0 for x in r[:4]), r[4])
+    assert sorted(map(tuple, got), key=key) == sorted((want[r] for r in rows), key=key)
+
+
+def test_range_ends_join_ranks():
     import pyarrow as pa
 
-    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([0] * len(rows)), pa.array(texts)], names=["k", "o", "text"])
-    monkeypatch.setattr(suffix_dedup, "_LOW", np.uint64((1 << 10) - 1))
-    out = pa.Table.from_batches(list(suffix_dedup._find_runs([batch]))).sort_by([("name", "ascending"), ("rest", "ascending"), ("k", "ascending"), ("at", "ascending")])
-    judged = pa.Table.from_batches(list(suffix_dedup._rank(True)(out.to_batches()))).to_pylist()
-    asked = {}
-    for r in judged:
-        if r["ask"]:
-            asked.setdefault(r["k"], []).append({"at": r["at"], "span": r["span"]})
-    ks = sorted(asked)
-    again = pa.RecordBatch.from_arrays([pa.array(ks), pa.array([0] * len(ks)), pa.array([texts[k] for k in ks]), pa.array([asked[k] for k in ks])], names=["k", "o", "text", "spots"])
-    single = pa.Table.from_batches(list(suffix_dedup._find_windows([again]))).sort_by([("name", "ascending"), ("rest", "ascending"), ("k", "ascending"), ("at", "ascending")])
-    more = pa.Table.from_batches(list(suffix_dedup._rank(False)(single.to_batches()))).to_pylist()
-    spots = [[{"at": r["at"], "span": r["span"]} for r in [*judged, *more] if r["k"] == k and not r["ask"]] for k in range(len(texts))]
-    got = next(suffix_dedup._remove([pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts), pa.array(spots, pa.list_(pa.struct([("at", pa.int64()), ("span", pa.int64())])))], names=["doc_id", "text", "spots"])]))
-    assert [tuple(r.values()) for r in got.to_pylist()] == brute_repeats(rows)
+    a, c = np.array([1, 1, 5, 5, 5, 9]), np.array([0, 7, 1, 4, 9, 2])
+    bounds = (np.array([1, 5, 5]), np.array([5, 0, 5]))
+    assert suffix_dedup.splitter(a, c, bounds).tolist() == [sum((x, y) <= (p, q) for x, y in zip(*bounds)) for p, q in zip(a, c)]
+    out = []
+    for task, rows in enumerate([[(1, 1), (2, 1), (2, 2)], [(2, 3)], [(2, 4), (3, 1), (3, 2), (4, 4)]]):
+        t = pa.table({"a": [r[0] for r in rows], "c": [r[1] for r in rows], "k": [task] * len(rows), "at": list(range(len(rows))), "shape": pa.array([0] * len(rows), pa.int32())})
+        judged = pa.Table.from_batches(list(suffix_dedup._rank()(t.to_batches()))).to_pylist()
+        out.append([(r["kind"], r["rank"]) for r in judged])
+    asked = [[r for k, r in x if k == suffix_dedup.ASKED] for x in out]
+    assert asked == [[0, 1, 1], [0], [0, 1, 1, 2]]
