@@ -16,10 +16,14 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one is set only where the setting is unset."""
+    """The folder named by spark.checkpoint.dir or given to setCheckpointDir; a local one only in local mode, as in tests."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="siftline-")
+        given = spark.sparkContext._jsc.sc().getCheckpointDir()
+        at = given.get() if given.isDefined() else None
+        if not at and not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = at or "file://" + tempfile.mkdtemp(prefix="siftline-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
@@ -50,6 +54,7 @@ def delete_path(spark: SparkSession, path: str) -> None:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write once to the shared folder and read back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
+    ship(spark)
     path = scratch_path(spark, name)
     was = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")  # shuffle files go with the job that needed them
@@ -86,9 +91,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def partitions(spark: SparkSession) -> int:
+    ship(spark)
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have, whatever the case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def own_columns(df: DataFrame) -> list[Column]:
+    """The table's columns by their exact names, dots included."""
+    return [F.col(f"`{c}`") for c in df.columns]
+
+
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 

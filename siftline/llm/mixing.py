@@ -18,13 +18,14 @@ are kept by resample().
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_or_empty
+from .common import materialize, own_columns, text_or_empty
 
 DOMAINS = ("low", "high", "toxic")
 TARGETS = {"low": 0.10, "high": 0.85, "toxic": 0.05}
@@ -74,8 +75,13 @@ def posteriors(docs: DataFrame, labels: DataFrame, domains: tuple[str, ...] = DO
         one = rows.where(F.col("y") == d).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         few = one if few is None else few.unionByName(one)
     t = text_or_empty()
-    # the draw has at most per_class x domains rows of 12 bytes
-    sample = materialize(docs.select("doc_id", t.alias("text")).join(F.broadcast(few), "doc_id"), "mix-sample")
+    # the draw has at most per_class x domains rows of 12 bytes; a doc_id may stand for any number of rows
+    held = docs.select("doc_id", t.alias("text")).join(F.broadcast(few), "doc_id").select("text", "y")
+    sample = None
+    for d in range(len(domains)):
+        one = held.where(F.col("y") == d).orderBy(F.xxhash64("text"), "text").limit(per_class)
+        sample = one if sample is None else sample.unionByName(one)
+    sample = materialize(sample, "mix-sample")
     n = {r[0]: r[1] for r in sample.groupBy("y").count().collect()}
     if len(n) < 2:
         return F.array(F.lit(0.0)), lambda x: F.array(*[F.lit(0.0)] * len(domains))
@@ -119,9 +125,12 @@ def _rate(p: Column, steps: list[list[float]], cover: bool) -> Column:
     return F.aggregate(all_steps, rate, lambda r, s: F.greatest(least, r - dot(s)))
 
 
-def fit_rates(rated: DataFrame, targets: list[float], cover: bool, rounds: int = 25, close: float = 1e-4, most: float = 4.0) -> list[list[float]]:
+def fit_rates(rated: DataFrame, targets: list[float], cover: bool, rounds: int = 200, close: float = 1e-4, most: float = 4.0, still: float = 1e-3) -> list[list[float]]:
     """The steps whose fold gives each document's rate. `rated`: tokens, p.
 
+    Steps end when the targets are met or, where rates cannot meet them, at the least squares: a step then takes
+    less than the share `still` off the misfit. Not to settle in `rounds` is an error.
+
     With `cover` totals start where no domain shrinks and grow, up to `most` times that, with what rates of one or more make of any domain.
     """
     k = len(targets)
@@ -137,11 +146,16 @@ def fit_rates(rated: DataFrame, targets: list[float], cover: bool, rounds: int =
     scale = start = least() if cover else total
     back = np.linalg.inv(moment + 1e-6 * np.trace(moment) * np.eye(k))
     steps: list[list[float]] = []
+    misfits: list[float] = []
     for _ in range(rounds):
         if cover:
             scale = min(max(scale, least()), most * start)
         want = w * scale
-        if np.abs(have - want).max() <= close * total:
+        misfits.append(float(np.abs(have - want).max()) / total)
+        if misfits[-1] <= close:
+            break
+        if len(misfits) > 3 and misfits[-1] > (1 - still) * misfits[-2] and misfits[-2] > (1 - still) * misfits[-3]:
+            warnings.warn(f"targets out of reach: misfit {misfits[-1]:.4f} of all tokens", stacklevel=2)
             break
         steps.append((back @ (have - want)).tolist())
         now = rated.withColumn("r", _rate(F.col("p"), steps, cover))
@@ -151,13 +165,17 @@ def fit_rates(rated: DataFrame, targets: list[float], cover: bool, rounds: int =
             part_of = max(0.0, (most * start - was) / (have.sum() - was))
             steps[-1] = [x * part_of for x in steps[-1]]
             break
+    else:
+        raise RuntimeError(f"rates did not settle in {rounds} steps")
     return steps
 
 
-def _measured(docs: DataFrame, labels: DataFrame, domains: tuple[str, ...], keep: list[str]) -> DataFrame:
+def _measured(docs: DataFrame, labels: DataFrame, domains: tuple[str, ...], keep: Column) -> DataFrame:
+    """kept, tokens, p and u, a number from 0 to 1 that is the row's own (drawn once and written, so that repeated rows round apart)."""
     x, logits = posteriors(docs, labels, domains)
     t = text_or_empty()
-    slim = docs.select(*keep, F.regexp_count(t, F.lit(r"\S+")).cast("long").alias("tokens"), x.alias("_x"), F.xxhash64(t).alias("_th"))
+    u = F.pmod(F.xxhash64("doc_id", t, F.monotonically_increasing_id()), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    slim = docs.select(keep.alias("kept"), F.regexp_count(t, F.lit(r"\S+")).cast("long").alias("tokens"), x.alias("_x"), u.alias("u"))
     # one step at a time: what is used more than once is computed once
     slim = slim.withColumn("_z", logits("_x")).withColumn("_top", F.array_max("_z"))
     slim = slim.withColumn("_e", F.transform("_z", lambda a: F.exp(a - F.col("_top")))).withColumn("_sum", F.aggregate("_e", F.lit(0.0), lambda a, b: a + b))
@@ -165,15 +183,14 @@ def _measured(docs: DataFrame, labels: DataFrame, domains: tuple[str, ...], keep
 
 
 def _copies(rate: Column) -> Column:
-    u = F.pmod(F.xxhash64("doc_id", "_th"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    return F.floor(rate + u).cast("int")
+    return F.floor(rate + F.col("u")).cast("int")
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, cover: bool = False) -> DataFrame:
     """doc_id, tokens, a posterior for each domain, rate, copies (the rate rounded by a hash of the row)."""
     targets = targets or TARGETS
     domains = tuple(d for d in DOMAINS if d in targets)
-    rated = _measured(docs, labels, domains, ["doc_id"])
+    rated = _measured(docs, labels, domains, F.col("doc_id")).withColumnRenamed("kept", "doc_id")
     rate = _rate(F.col("p"), fit_rates(rated, [targets[d] for d in domains], cover), cover)
     out = rated.withColumn("rate", rate)
     return out.select("doc_id", "tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(domains)], "rate", _copies(F.col("rate")).alias("copies"))
@@ -182,7 +199,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
 def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float], cover: bool = True) -> DataFrame:
     """The rows, each as often as its copies. With `cover` no rate is below one, so every row stays."""
     domains = tuple(d for d in DOMAINS if d in targets)
-    rated = _measured(docs, labels, domains, docs.columns)
+    rated = _measured(docs, labels, domains, F.struct(*own_columns(docs)))  # one struct: no name of a column can clash
     rate = _rate(F.col("p"), fit_rates(rated.select("tokens", "p"), [targets[d] for d in domains], cover), cover)
-    many = rated.withColumn("_copies", _copies(rate))
-    return many.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    many = rated.select("kept", _copies(rate).alias("n")).where("n > 0").select("kept", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    return many.select("kept.*")

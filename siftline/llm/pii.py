@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_or_empty
+from .common import materialize, own_columns, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 ALL = (*KINDS, "local_phone", "id_number", "credential")
@@ -145,10 +145,9 @@ def span_classifier(counts: dict[tuple[int, int], int], post: dict[tuple[int, in
     return w
 
 
-def find(docs: DataFrame, text_col: str = "text", keep_text: bool = True) -> DataFrame:
-    """The rows, with `_base` and `_spans`: array<struct<start, kind, stop>> in order of start, then kind."""
-    spotted = docs.withColumn("_cand", candidates(text_or_empty(text_col)))
-    spotted = materialize(spotted if keep_text else spotted.drop(text_col), "pii")
+def find(docs: DataFrame, keep: Column, text_col: str = "text") -> DataFrame:
+    """kept (the column `keep`), _base and _spans: array<struct<start, kind, stop>> in order of start, then kind."""
+    spotted = materialize(docs.select(keep.alias("kept"), candidates(text_or_empty(text_col)).alias("_cand")), "pii")
     seen = spotted.select(F.explode("_cand").alias("c")).groupBy("c.kind", "c.votes").count().collect()  # at most 7 x 32 rows
     counts = {(r[0], r[1]): r[2] for r in seen}
     post, _, _ = label_model(counts)
@@ -168,7 +167,7 @@ def _joined(spans: str) -> Column:
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
-    got = find(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), keep_text=False)
+    got = find(docs, F.col(id_col).cast("long"), text_col).withColumnRenamed("kept", "doc_id")
     count = lambda k: F.size(F.filter("_base", lambda s: s["kind"] == k)).cast("long")
     n = [count(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
     return got.select("doc_id", *n, F.sha2(_joined("_base").cast("binary"), 256).alias("base_sha256"), _joined("_spans").alias("spans"))
@@ -176,9 +175,9 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The same columns; each found span of the text is replaced by its kind in angle brackets. Null texts stay null."""
-    got = find(docs, text_col)
+    got = find(docs, F.struct(*own_columns(docs)), text_col)  # one struct: no name of a column can clash
     name = F.array(*(F.lit(f"<{k.upper()}>") for k in ALL))
-    text = F.col(text_col)
+    text = F.col(f"kept.`{text_col}`")
 
     def step(acc: Column, s: Column) -> Column:
         new = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.element_at(name, s["kind"] + 1))
@@ -186,4 +185,5 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     clean = F.aggregate("_spans", start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.char_length(text))))
-    return got.withColumn(text_col, F.when(F.size("_spans") > 0, clean).otherwise(text)).drop("_base", "_spans")
+    new = F.when(F.size("_spans") > 0, clean).otherwise(text)
+    return got.select(*((new if c == text_col else F.col(f"kept.`{c}`")).alias(c) for c in docs.columns))

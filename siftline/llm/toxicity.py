@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_or_empty
+from .common import materialize, ship, text_or_empty
 
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6)
@@ -116,6 +116,15 @@ def logistic(x: np.ndarray, y: np.ndarray, decay: float = 3e-4, rounds: int = 40
     return w
 
 
+def bounded(held: DataFrame, per_class: int, classes: tuple[int, ...] = (0, 1)) -> DataFrame:
+    """(text, y): at most per_class rows a class, though a doc_id may stand for any number of rows."""
+    parts = [held.where(F.col("y") == y).orderBy(F.xxhash64("text"), "text").limit(per_class) for y in classes]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 2000, most_terms: int = 800, voters: int = 12, least_ratio: float = 16.0) -> tuple[list[str], np.ndarray] | None:
     """(terms, weights of terms, style rules and constant)."""
     rows = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
@@ -125,7 +134,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 2000, most_terms:
         return None
     drawn = [rows.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
     few = F.broadcast(drawn[0].unionByName(drawn[1]))  # at most 2 x per_class rows of 12 bytes
-    sample = materialize(docs.select("doc_id", text_or_empty().alias("text")).join(few, "doc_id").select("text", "y"), "toxic-sample")
+    held = docs.select("doc_id", text_or_empty().alias("text")).join(few, "doc_id").select("text", "y")
+    sample = materialize(bounded(held, per_class), "toxic-sample")
     size = {r[0]: r[1] for r in sample.groupBy("y").count().collect()}
     if len(size) < 2:
         return None
@@ -166,8 +176,9 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return with_scores(slim, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
-def with_scores(docs: DataFrame, model: tuple[list[str], np.ndarray] | None, text_col: str = "text") -> DataFrame:
-    """The rows with a column `score`."""
+def with_scores(docs: DataFrame, model: tuple[list[str], np.ndarray] | None, text_col: str = "text", name: str = "score") -> DataFrame:
+    """The rows with a further column of their scores, whose `name` must be free."""
+    ship(docs.sparkSession)
     chosen, w = model or ([], np.array([0.0, 0.0, 0.0, -np.inf]))
     read, weights, n = Reader(chosen), w.tolist(), len(chosen)
     at = docs.columns.index(text_col)
@@ -179,8 +190,8 @@ def with_scores(docs: DataFrame, model: tuple[list[str], np.ndarray] | None, tex
                 t = t or ""
                 z = weights[-1] + sum(weights[i] for i in read(t)) + sum(a * x for a, x in zip(weights[n:], style(t)))
                 out.append(1 / (1 + np.exp(-z)) if z > -700 else 0.0)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.float64())], schema=pa.schema([*b.schema, pa.field("score", pa.float64())]))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.float64())], schema=pa.schema([*b.schema, pa.field(name, pa.float64())]))
 
     from pyspark.sql import types as T
 
-    return docs.mapInArrow(judge, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(judge, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))

@@ -159,12 +159,34 @@ def test_nearest_against_brute_force(spark):
     assert ann.nearest(v.where("false")).count() == 0
 
 
+def test_nearest_with_widely_spread_norms_and_repeated_ids(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1200, 24)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[7] *= 100
+    x[300:310] *= np.float32(0.01)
+    rows = [(i, [float(a) for a in v]) for i, v in enumerate(x)] + [(4, [9.0] * 24)]
+    x[4] = min(x[4].tolist(), [9.0] * 24)
+    hits, got = 0, {}
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), every=60).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    for q, found in got.items():
+        s = x.astype(float) @ x[q].astype(float)
+        s[q] = -np.inf
+        hits += len(found & set(sorted(range(1200), key=lambda i: (-s[i], i))[:20]))
+    assert len(got) == 20 and hits >= 0.9 * 20 * len(got)
+
+
 def test_bucket_search(spark):
     bounds = [3, 5, 9, 20]
     rows = spark.createDataFrame([(None,), *((i,) for i in range(25))], "k long").select("k", common.bucket_of(F.col("k"), bounds).alias("b")).collect()
     assert all(r.b == (0 if r.k is None else sum(b <= r.k for b in bounds)) for r in rows)
 
 
+#: Names that the stages use, or once used, for columns of their own.
+CLASHES = ("score", "Tokens", "p", "_k", "_base", "_spans", "_cand", "_row", "row", "_x", "_z", "_th", "kept", "u", "n", "y", "node", "copies", "rate", "sh", "at")
+
+
 @pytest.fixture(scope="module")
 def piped(spark, tmp_path_factory):
     import corpus_pipeline
@@ -172,7 +194,9 @@ def piped(spark, tmp_path_factory):
     at = tmp_path_factory.mktemp("sf")
     docs, labels = toxic_rows(spark, 300)
     wide = docs.select("doc_id", F.when(F.col("doc_id") == 7, F.concat("text", F.lit(" a@b.de"))).otherwise(F.col("text")).alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.char_length("text").cast("long").alias("n_chars"))
-    wide = wide.unionByName(wide.where("doc_id = 8").withColumn("doc_id", F.lit(1008).cast("long")))
+    other = spark.createDataFrame([(9, "quite another text of the same id, with words that stand nowhere else", "en", "s", 70)], wide.schema)
+    wide = wide.unionByName(wide.where("doc_id = 8").withColumn("doc_id", F.lit(1008).cast("long"))).unionByName(other)
+    wide = wide.withColumns({c: F.concat(F.lit(c), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))) for c in CLASHES})
     wide.write.parquet(f"{at}/documents.parquet")
     labels.write.parquet(f"{at}/labels.parquet")
     out, now = {}, spark.read.parquet(f"{at}/documents.parquet")
@@ -195,3 +219,26 @@ def test_pipeline_stages(piped, spark):
     assert "<EMAIL>" in out["pii"].where("doc_id = 7").first().text
     assert ids["mixing"] == ids["pii"]
     assert ids["packing"] == ids["mixing"]
+    for name in ("toxicity", "near_dedup", "pii", "mixing"):  # what stands in the other columns is the row's own
+        rows = out[name].collect()
+        assert all(r[c] == f"{c}{'-' if r.doc_id is None else r.doc_id}" for r in rows for c in CLASHES)
+        assert len({r.text for r in rows if r.doc_id == 9}) == 2
+
+
+def test_stages_on_an_empty_table_and_null_texts(spark, tmp_path):
+    import corpus_pipeline
+
+    labels = spark.createDataFrame([(1, 0, 1), (2, 1, 0), (3, 0, 0)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for rows in ([], [(1, None, None, None, None), (None, None, "x", "y", 0), (2, "", None, None, 0)]):
+        now = spark.createDataFrame(rows, schema)
+        for name, f in corpus_pipeline.STAGES:
+            now = common.materialize(f(spark, now, str(tmp_path)), name)
+        assert (now.count() > 0) == bool(rows)
+
+
+def test_bounded_samples_though_a_doc_id_repeats(spark):
+    held = spark.range(500).select(F.concat(F.lit("t"), F.col("id") % 50).alias("text"), (F.col("id") % 2).cast("int").alias("y"))
+    got = toxicity.bounded(held, 20).groupBy("y").count().collect()
+    assert sorted(map(tuple, got)) == [(0, 20), (1, 20)]
