@@ -4,6 +4,11 @@ Terms are the five-word shingles of the lower-cased text; a term that occurs f t
 weight 1 + ln f, plus on the bits its hash sets and minus on the others. A bit of the fingerprint is
 1 if its votes are positive. Equal texts have equal fingerprints.
 
+The search finds all fingerprints within `radius` bits of given ones: the 64 bits are cut into blocks, and whichever
+bits differ, some blocks agree, so each choice of that many blocks is a table whose key is exact.
+Equal fingerprints are one row of a table; fingerprints under a hot key are dealt over several tasks, which all get the key's
+queries. In `edit_digest` the queries are the documents whose doc_id is divisible by `every`, held against all documents.
+
 Defined results: null text is the empty text, whose fingerprint is zero; texts of under five words are
 one term; texts of any length are read whole; null doc_id sorts first; repeated rows follow each other
 (ties go by text); the only row of a table is its own next; extra columns are ignored.
@@ -20,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_of, ordered_bounds, partitions, text_or_empty
+from .common import bucket_of, hot_keys, materialize, ordered_bounds, partitions, salted_join, text_or_empty
 from .shingles import bit_sums, pack_bits, shingle_hashes, signed
 
 WORDS = 5
@@ -53,24 +58,42 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return df.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).mapInArrow(run, "id long, fp long")
 
 
-def near_fingerprints(fps: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame:
-    """All pairs (fp, other, distance) of different fingerprints within `radius` bits, fp < other.
-
-    The 64 bits are cut into `blocks`; whichever bits differ, some blocks - radius of them agree, so each
-    choice of those is a table whose key is exact. Rows of one fingerprint are one class before any join:
-    membership is the input itself.
-    """
+def _keyed(fps: DataFrame, radius: int, blocks: int) -> DataFrame:
+    """fp, key: the rows of all tables; a table's number is part of its keys."""
     width = [64 * i // blocks for i in range(blocks + 1)]
     part = [((1 << width[i + 1]) - 1) ^ ((1 << width[i]) - 1) for i in range(blocks)]
     masks = [signed(sum(part[i] for i in keep)) for keep in combinations(range(blocks), blocks - radius)]
-    distinct = fps.select("fp").where("fp IS NOT NULL").distinct()
-    keyed = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("_table", "_key"))
-    other = keyed.select(F.col("fp").alias("other"), "_table", "_key")
-    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("other")))
-    return keyed.join(other, ["_table", "_key"]).where((F.col("fp") < F.col("other")) & (near <= radius)).select("fp", "other", near.alias("distance")).distinct()
-
-
-def edit_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    keys = F.array(*[F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m))) for t, m in enumerate(masks)])
+    return fps.select("fp", F.explode(keys).alias("key"))
+
+
+def near_fingerprints(fps: DataFrame, queries: DataFrame, radius: int = 3, blocks: int = 6, parts: int = 16) -> DataFrame:
+    """(query, fp, distance): every distinct fingerprint within `radius` bits of each distinct query, itself included. Both: fp."""
+    tables = _keyed(fps.select("fp").where("fp IS NOT NULL").distinct(), radius, blocks)
+    asked = _keyed(queries.select("fp").where("fp IS NOT NULL").distinct(), radius, blocks).withColumnRenamed("fp", "query")
+    counts = tables.groupBy("key").agg(F.count("*").alias("n"))
+    hot = hot_keys(counts, "key", "n", fps.count())
+    mine = F.when(F.col("key").isin(hot), F.pmod(F.xxhash64("fp"), F.lit(parts))).otherwise(F.lit(0)) if hot else F.lit(0)
+    all_parts = F.explode(F.when(F.col("key").isin(hot), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))) if hot else F.lit(0)
+    met = tables.withColumn("part", mine.cast("int")).hint("shuffle_hash").join(asked.withColumn("part", all_parts), ["key", "part"])
+    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("query")))
+    return met.where(near <= radius).select("query", "fp", near.alias("distance")).distinct()
+
+
+def edit_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", every: int = 100, radius: int = 3) -> DataFrame:
+    """What digest() gives and, for documents whose id is divisible by `every`, n_near: how many other documents have a fingerprint within `radius` bits."""
+    got = materialize(digest(docs, id_col, text_col), "fingerprints")
+    number = got.withColumn("fp", F.conv("fingerprint", 16, -10).cast("long"))
+    classes = materialize(number.groupBy("fp").agg(F.count("*").alias("n"), F.bool_or(F.coalesce(F.col("doc_id") % every == 0, F.lit(False))).alias("asked")), "fingerprint-classes")
+    near = near_fingerprints(classes, classes.where("asked"), radius)
+    total = near.join(classes.select("fp", "n"), "fp").groupBy(F.col("query").alias("fp")).agg(F.sum("n").alias("total"))
+    hot = hot_keys(classes, "fp", "n", classes.agg(F.sum("n")).first()[0] or 0)
+    found = salted_join(number, total, "fp", hot, F.monotonically_increasing_id())
+    n_near = F.when(F.col("doc_id") % every == 0, F.col("total") - 1).alias("n_near")
+    return found.select(*got.columns, n_near)
+
+
+def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of each text and of its edited text, with their likeness to each other and to the next document's.
 
     One shuffle of the texts, by ranges of the id; the first document of each range is also sent to the range before.

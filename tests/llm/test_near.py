@@ -1,5 +1,7 @@
+import collections
 import hashlib
 import itertools
+import math
 import re
 
 import numpy as np
@@ -58,9 +60,32 @@ def test_anchors_link_what_brute_force_links(spark):
     want = groups([f & (2**64 - 1) for f in fps])
     root = {r.node: r.root for r in components.components(spark.createDataFrame([(u, v) for u, v in links], "u long, v long")).collect()}
     assert [root.get(f, f) for f in fps] == [fps[t] for t in want]
-    pairs = fingerprints.near_fingerprints(spark.createDataFrame([(f,) for f in fps] * 2, "fp long")).collect()
-    brute = {(a, b) for a, b in itertools.combinations(fps, 2) if ((a ^ b) & (2**64 - 1)).bit_count() <= 3}
-    assert {(p.fp, p.other) for p in pairs} == brute and len(pairs) == len(brute)
+
+
+def brute_fingerprint(text):
+    words = (text or "").lower().split()
+    if not words:
+        return 0
+    sh = [" ".join(words[i : i + 5]) for i in range(len(words) - 4)] or [" ".join(words)]
+    weight = {s: 1 + math.log(n) for s, n in collections.Counter(sh).items()}
+    h = {s: xxhash.xxh64_intdigest(s.encode(), 42) for s in weight}
+    return sum(1 << b for b in range(64) if sum(w if h[s] >> b & 1 else -w for s, w in weight.items()) > 1e-9)
+
+
+def test_fingerprints_and_block_tables_against_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    words = lambda n: " ".join(rng.choice(["ab", "cd", "Ef", "gh"], n)) if n % 3 else " ".join(str(rng.integers(999)) for _ in range(n))
+    for t in [words(int(rng.integers(0, 60))) for _ in range(60)] + ["", None, "one two"]:
+        assert fingerprints.fingerprint(t) == brute_fingerprint(t), t
+    fps = [int(x) for x in rng.integers(0, 1 << 63, 60)]
+    fps += [f ^ sum(1 << b for b in {int(x) for x in rng.integers(0, 62, k)}) for f in fps for k in (1, 2, 3, 4)]
+    fps += [(7 << 40) | int(x) for x in rng.integers(0, 256, 80)] + [0, -1]
+    want = {(q, f, ((q ^ f) & (2**64 - 1)).bit_count()) for q in fps[::7] for f in fps if ((q ^ f) & (2**64 - 1)).bit_count() <= 3}
+    for hot in (None, lambda counts, key, n, total: [r[0] for r in counts.where("n > 20").select(key).collect()]):
+        if hot:
+            monkeypatch.setattr(fingerprints, "hot_keys", hot)
+        near = fingerprints.near_fingerprints(spark.createDataFrame([(f,) for f in fps] * 2, "fp long"), spark.createDataFrame([(f,) for f in fps[::7]], "fp long")).collect()
+        assert {tuple(p) for p in near} == want and len(near) == len(want)
 
 
 def test_components_of_a_chain_and_a_hub(spark):
@@ -73,7 +98,7 @@ def test_components_of_a_chain_and_a_hub(spark):
 def test_edit_digest(docs, empty, spark):
     plain = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
     rows = sorted(plain.select("doc_id", "text").collect())
-    got = {r.doc_id: r for r in fingerprints.edit_digest(plain).collect()}
+    got = {r.doc_id: r for r in fingerprints.edit_digest(plain, every=7).collect()}
     assert len(got) == len(rows)
     for (d, t), (_, nxt) in zip(rows, rows[1:] + rows[:1]):
         t, nxt, r = t or "", nxt or "", got[d]
@@ -83,6 +108,8 @@ def test_edit_digest(docs, empty, spark):
         a, e, b = (fingerprints.fingerprint(x) for x in (t, edited, nxt))
         assert (r.fingerprint, r.edited_fingerprint) == (f"{a:016x}", f"{e:016x}")
         assert r.near_edited == fingerprints.likeness(a, e) and r.near_next == fingerprints.likeness(a, b)
+        same = sum((a ^ fingerprints.fingerprint(x[1])).bit_count() <= 3 for x in rows) - 1
+        assert r.n_near == (same if d % 7 == 0 else None)
     assert fingerprints.edit_digest(docs).count() == docs.count()
     assert fingerprints.edit_digest(empty).count() == 0
     one = fingerprints.edit_digest(plain.where("doc_id = 2")).collect()
