@@ -102,12 +102,12 @@ def term_freq(spark, sf_dir):
 
 @register(f"{_BASE} SELECT doc_id, dl FROM dl")
 def doc_length(spark, sf_dir):
-    return index.doc_lengths(S.documents(spark, sf_dir), S.sectioned(spark, sf_dir)).select("doc_id", "dl")
+    return S.lengths(spark, sf_dir).select("doc_id", "dl")
 
 
 @register(f"{_BASE} SELECT namespace, schema, n_docs, sum_len, round(avgdl, 6) AS avgdl FROM cs")
 def corpus_stats(spark, sf_dir):
-    st = index.corpus_stats(index.doc_lengths(S.documents(spark, sf_dir), S.sectioned(spark, sf_dir)))
+    st = index.corpus_stats(S.lengths(spark, sf_dir))
     return st.select("namespace", "schema", "n_docs", F.col("sum_len").cast("long").alias("sum_len"), F.round("avgdl", 6).alias("avgdl"))
 
 
@@ -138,6 +138,9 @@ _form("nested_group", "(the OR der) (of OR und) -was", f"({_t('the')} OR {_t('de
 _form("or_run_merge", "the OR der of OR und", "(" + " OR ".join(map(_t, ("the", "der", "of", "und"))) + ")")
 _form("section_restrict", "subject:the", _has("term = 'the' AND path = 'subject'"))
 _form("restrict_or_plain", "subject:the OR und", "(" + _has("term = 'the' AND path = 'subject'") + f" OR {_t('und')})")
+_form("restrict_hyphen", "subject:of-the", _has("term = 'of' AND path = 'subject'") + f" AND {_t('the')}")
+_form("restrict_twice", "subject:the:of", "false")
+_form("repeated_term", "the the", _t("the"))
 _form("empty_query", "", "true")
 _form("only_exclusion", "-the", f"NOT {_t('the')}")
 
@@ -188,11 +191,16 @@ def none_rank(spark, sf_dir):
     return _top(_match(spark, sf_dir, "the of").withColumn("score", score.simple("none", "desc")))
 
 
+@register(_top_sql(_BOTH, "1.7976931348623157e308", "ASC"))
+def none_rank_asc(spark, sf_dir):
+    return _top(_match(spark, sf_dir, "the of").withColumn("score", score.simple("none", "asc")), order="asc")
+
+
 def _used(spark, sf_dir):
     return _match(spark, sf_dir, "the").join(store.usage_scores(S.usage_reports(spark, sf_dir), ["doc_id"]), "doc_id", "left")
 
 
-_USED = "(SELECT alive.*, cnt1, last2_s FROM alive LEFT JOIN us USING (doc_id)) u"
+_USED = "(SELECT alive.*, cnt1, cnt2, cnt3, last1_s, last2_s, last3_s FROM alive LEFT JOIN us USING (doc_id)) u"
 
 
 @register(_top_sql(_t("the"), "coalesce(cnt1, 0)", base=_USED))
@@ -205,10 +213,24 @@ def usage_last_rank(spark, sf_dir):
     return _top(_used(spark, sf_dir).withColumn("score", score.simple("usage_type2_last_used", "desc")))
 
 
+def _usage_rank(what: str, value: str) -> None:
+    def run(spark, sf_dir):
+        return _top(_used(spark, sf_dir).withColumn("score", score.simple(f"usage_type{what}", "desc")))
+
+    run.__name__, run.__doc__ = f"usage_type{what}_rank", f"Best by usage type and figure {what}."
+    register(_top_sql(_t("the"), value, base=_USED))(run)
+
+
+_usage_rank("2_count", "coalesce(cnt2, 0)")
+_usage_rank("3_count", "coalesce(cnt3, 0)")
+_usage_rank("1_last_used", "coalesce(last1_s, 0) * 1000.0")
+_usage_rank("3_last_used", "coalesce(last3_s, 0) * 1000.0")
+
+
 def _bm25(spark, sf_dir, q: str, prefix: bool = False, namespaces=None) -> DataFrame:
     node = query.parse(q)
     docs, posts = _docs(spark, sf_dir, namespaces), S.postings(spark, sf_dir)
-    lengths = index.doc_lengths(S.documents(spark, sf_dir), S.sectioned(spark, sf_dir))
+    lengths = S.lengths(spark, sf_dir)
     hits = match.term_hits(posts, node, prefix)
     out = score.bm25f(match.match(posts, docs, node, prefix), hits, docs, lengths, index.corpus_stats(lengths), node)
     return out.select("doc_id", F.round("score", 6).alias("score"))
@@ -235,6 +257,12 @@ def bm25_or(spark, sf_dir):
     return _bm25(spark, sf_dir, "the OR und")
 
 
+@register(_bm25_sql([("term = 'the'", "true")], "f0 > 0"))
+def bm25_repeated_term(spark, sf_dir):
+    """A term that stands twice in a query scores once."""
+    return _bm25(spark, sf_dir, "the the")
+
+
 @register(_bm25_sql([("term = 'the'", "true"), ("term = 'of'", "true")], "f0 > 0 AND f1 > 0"))
 def bm25_and(spark, sf_dir):
     return _bm25(spark, sf_dir, "the of")
@@ -372,11 +400,12 @@ def suggest_prefix(spark, sf_dir):
     return index.suggest(S.postings(spark, sf_dir), "an", 20, ["src0", "src1"])
 
 
-@register(f"{_BASE} SELECT term, count(*) AS n FROM post WHERE doc_id <= 100 GROUP BY term")
+@register(f"{_BASE} SELECT term, count(*) AS n FROM post WHERE doc_id <= (SELECT max(doc_id) // 2 FROM documents) GROUP BY term")
 def truncate_to(spark, sf_dir):
     """Postings cut to the document store's last id, after a delta of the newer half was merged in."""
     p = S.postings(spark, sf_dir)
-    return index.merge_postings(p.where("doc_id % 2 = 0"), p.where("doc_id % 2 = 1"), 100).groupBy("term").agg(F.count("*").alias("n"))
+    last = S.read(spark, sf_dir, "documents").agg(F.max("doc_id")).first()[0] or 0
+    return index.merge_postings(p.where("doc_id % 2 = 0"), p.where("doc_id % 2 = 1"), last // 2).groupBy("term").agg(F.count("*").alias("n"))
 
 
 # shaping
@@ -397,8 +426,19 @@ def doc_validate(spark, sf_dir):
     return d.select(schema.row_error(_DOC_SCHEMA).alias("error")).groupBy("error").agg(F.count("*").alias("n"))
 
 
-@register(None)
-def snippet_offsets(spark, sf_dir):
+_ASTRAL = "length(regexp_replace({0}, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g'))"
+_SNIPPETS = f"""{_BASE}, r AS (SELECT doc_id, text, row_number() OVER (ORDER BY score_input DESC, doc_id DESC) AS rank FROM alive WHERE {_t('the')}),
+v AS (SELECT doc_id, rank, 0 AS sec, 'body' AS path, text AS v FROM r WHERE rank <= 10 UNION ALL SELECT doc_id, rank, 1, 'subject', left(text, 40) FROM r WHERE rank <= 10),
+w AS (SELECT *, regexp_extract_all(v, '{_quote(RX)}') AS w, regexp_split_to_array(v, '{_quote(RX)}') AS p FROM v),
+j AS (SELECT *, unnest(range(1, len(w) + 1)) AS j FROM w),
+m AS (SELECT doc_id, rank, sec, path, j, w[j] AS word, left(v, CAST(list_sum(list_transform(p[1:j], lambda x: length(x))) + coalesce(list_sum(list_transform(w[1:j - 1], lambda x: length(x))), 0) AS BIGINT)) AS head
+  FROM j WHERE translate(lower(w[j]), '{FROM}', '{TO}') = 'the'),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, sec ORDER BY j) AS n FROM m)
+SELECT doc_id, CAST(rank AS INTEGER) AS rank, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY sec, j) - 1 AS INTEGER) AS i, path, CAST(strlen(head) AS INTEGER) AS byte_pos, CAST(strlen(word) AS INTEGER) AS byte_len,
+  CAST(length(head) + {_ASTRAL.format('head')} AS INTEGER) AS utf16_pos, CAST(length(word) + {_ASTRAL.format('word')} AS INTEGER) AS utf16_len FROM k WHERE n <= 5"""
+
+
+def _snippets(spark, sf_dir):
     top = rank.page(_scored(spark, sf_dir), 0, 20)
     rows = top.select("doc_id", "score", "rank").join(S.documents(spark, sf_dir).select("doc_id", "schema", "props"), "doc_id")
     secs = [schema.Section(t, s.section_id, s.path, s.match, s.tokenizer) for t in ("en", "de", "fr", "es") for s in S.SECTIONS]
@@ -406,6 +446,38 @@ def snippet_offsets(spark, sf_dir):
     return got.select("doc_id", "rank", F.posexplode("snippets").alias("i", "s")).select("doc_id", "rank", "i", "s.*")
 
 
+@register(_SNIPPETS)
+def snippet_offsets(spark, sf_dir):
+    """Where the first matches of the ten best stand, in bytes and UTF-16 units."""
+    return _snippets(spark, sf_dir).select("doc_id", "rank", "i", "path", "byte_pos", "byte_len", "utf16_pos", "utf16_len")
+
+
+_ERAS = """
+WITH d AS (SELECT doc_id, source AS namespace, CAST(doc_id % 50 AS VARCHAR) AS uri, doc_id * 1000 AS put_ms, CAST(doc_id % 3 = 0 AS INTEGER) AS fresh FROM documents),
+e AS (SELECT *, coalesce(sum(fresh) OVER (PARTITION BY namespace, uri ORDER BY doc_id), 0) AS era FROM d),
+b AS (SELECT *, lead(f) OVER (PARTITION BY namespace, uri ORDER BY era) AS t FROM (SELECT namespace, uri, era, min(put_ms) AS f FROM e GROUP BY ALL)),
+r AS (SELECT d.namespace, d.uri, event_type, epoch_ms(ts) AS ms, epoch_ms(ts) % 1000000 AS reported_ms FROM events JOIN d ON user_id = d.doc_id WHERE event_type IN ('view', 'click', 'purchase')),
+u AS (SELECT b.namespace, b.uri, b.era, """ + ", ".join(f"count(*) FILTER (event_type = '{k}') AS cnt{t}, coalesce(max(CAST(floor(ms / 1000) AS BIGINT)) FILTER (event_type = '{k}'), 0) AS last{t}_s" for t, k in ((1, "view"), (2, "click"), (3, "purchase"))) + """
+  FROM r JOIN b ON r.namespace = b.namespace AND r.uri = b.uri AND reported_ms >= f AND (t IS NULL OR reported_ms < t) GROUP BY ALL)
+SELECT doc_id, """ + ", ".join(f"coalesce({c}{t}{x}, 0) AS {c}{t}{x}" for t in (1, 2, 3) for c, x in (("cnt", ""), ("last", "_s"))) + """ FROM e LEFT JOIN u ON e.namespace = u.namespace AND e.uri = u.uri AND e.era = u.era"""
+
+
+@register(_ERAS)
+def usage_carry(spark, sf_dir):
+    """Generations of a key share its usage until the key is deleted."""
+    d = S.documents(spark, sf_dir).select("doc_id", "namespace", (F.col("doc_id") % 50).cast("string").alias("uri"))
+    log = d.withColumns({"put_ms": F.col("doc_id") * 1000, "fresh": F.col("doc_id") % 3 == 0})
+    reports = S.usage_reports(spark, sf_dir).join(d, "doc_id").drop("doc_id").withColumn("reported_ms", F.col("usage_timestamp_ms") % 1_000_000)
+    return store.carry_usage(log, reports).select("doc_id", *(f"{c}{t}{x}" for t in store.TYPES for c, x in (("cnt", ""), ("last", "_s"))))
+
+
+@register("SELECT conv_id AS doc_id, list(role ORDER BY turn) AS roles, true AS texts_gone FROM conversations GROUP BY conv_id")
+def projection_own_type_first(spark, sf_dir):
+    """A mask of the document's own type goes before the one for all types."""
+    p = project.project(S.conversations(spark, sf_dir), [("*", ["turns", "turns.text"]), ("Conversation", ["turns", "turns.role"])])
+    return p.select("doc_id", F.flatten("props.turns.role").alias("roles"), F.forall("props.turns.text", lambda t: t.isNull()).alias("texts_gone"))
+
+
 @register(f"{_BASE} SELECT namespace, term, docs FROM (SELECT namespace, term, docs, row_number() OVER (PARTITION BY namespace ORDER BY docs DESC, term) AS n FROM (SELECT namespace, term, count(DISTINCT doc_id) AS docs FROM post WHERE strlen(term) > 4 GROUP BY ALL)) WHERE n <= 5")
 def top_terms(spark, sf_dir):
     c = S.postings(spark, sf_dir).where(F.octet_length("term") > 4).groupBy("namespace", "term").agg(F.countDistinct("doc_id").alias("docs"))

@@ -11,7 +11,7 @@ from siftline.plans.match import TF_CAP
 
 
 def section_tokens(docs: DataFrame, secs: list[Section], normalizer: str = "latin") -> DataFrame:
-    """doc_id, namespace, schema, section_id, path, in_prefix_section, terms: one row a section with values; one scan."""
+    """doc_id, namespace, schema, section_id, path, in_prefix_section, terms, before (tokens of earlier sections): one row a section with values; one scan."""
 
     def one(s: Section):
         words = F.flatten(F.transform(path_values(s.path), lambda v: X.terms(v, normalizer, s.tokenizer)))
@@ -19,18 +19,18 @@ def section_tokens(docs: DataFrame, secs: list[Section], normalizer: str = "lati
         return made if s.schema == "*" else F.when(F.col("schema") == s.schema, made)
 
     if not secs:
-        return docs.sparkSession.createDataFrame([], "doc_id long, namespace string, schema string, section_id int, path string, in_prefix_section boolean, terms array<string>")
-    rows = docs.select("doc_id", "namespace", "schema", F.explode(F.filter(F.array(*map(one, secs)), lambda x: x.isNotNull())).alias("s"))
-    return rows.select("doc_id", "namespace", "schema", "s.*").where(F.size("terms") > 0)
+        return docs.sparkSession.createDataFrame([], "doc_id long, namespace string, schema string, section_id int, path string, in_prefix_section boolean, terms array<string>, before int")
+    made = docs.select("doc_id", "namespace", "schema", F.array_sort(F.filter(F.array(*map(one, secs)), lambda x: x.isNotNull())).alias("_s"))
+    sizes = made.withColumn("_n", F.transform("_s", lambda x: F.size(x["terms"])))
+    rows = sizes.select("doc_id", "namespace", "schema", "_n", F.posexplode("_s").alias("_i", "s")).where(F.size("s.terms") > 0)
+    before = F.aggregate(F.slice("_n", F.lit(1), F.col("_i")), F.lit(0), lambda a, b: a + b)
+    return rows.select("doc_id", "namespace", "schema", "s.*", before.alias("before"))
 
 
 def build_postings(sectioned: DataFrame, max_tokens: int = X.MAX_TOKENS, tf_cap: int = TF_CAP) -> DataFrame:
     """term, doc_id, section_id, path, tf, in_prefix_section, namespace, schema; tokens past the cap, in section order, are not indexed."""
-    from pyspark.sql import Window
-
-    before = F.coalesce(F.sum(F.size("terms")).over(Window.partitionBy("doc_id").orderBy("section_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    room = F.greatest(F.lit(max_tokens) - before, F.lit(0)).cast("int")
-    rows = sectioned.withColumn("terms", F.slice("terms", F.lit(1), room)).select(*[c for c in sectioned.columns if c != "terms"], F.explode("terms").alias("term"))
+    room = F.greatest(F.lit(max_tokens) - F.col("before"), F.lit(0)).cast("int")
+    rows = sectioned.withColumn("terms", F.slice("terms", F.lit(1), room)).select(*[c for c in sectioned.columns if c not in ("terms", "before")], F.explode("terms").alias("term"))
     keys = ("doc_id", "section_id", "path", "in_prefix_section", "namespace", "schema", "term")
     return rows.groupBy(*keys).agg(F.least(F.count("*"), F.lit(tf_cap)).cast("int").alias("tf"))
 
@@ -54,8 +54,8 @@ def merge_postings(base: DataFrame, delta: DataFrame, max_doc_id: int | None = N
 
 
 def write_postings(postings: DataFrame, path: str, n: int) -> None:
-    """Sorted by term, so exact and prefix conditions skip row groups."""
-    postings.repartitionByRange(n, "term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(path)
+    """Sorted by term, so exact and prefix conditions skip files and row groups; a word of every document is cut by doc_id."""
+    postings.repartitionByRange(n, "term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(path)
 
 
 def lexicon(postings: DataFrame) -> DataFrame:

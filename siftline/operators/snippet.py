@@ -17,7 +17,8 @@ from siftline.functions.text import normalize_term
 from siftline.operators.schema import Section
 from siftline.plans.query import _SEGMENT, Term
 
-MATCHES = "array<struct<path:string,byte_pos:int,byte_len:int,utf16_pos:int,utf16_len:int,window:string>>"
+MATCHES = "array<struct<path:string,byte_pos:int,byte_len:int,utf16_pos:int,utf16_len:int,window:string,window_byte_pos:int,window_byte_len:int,window_utf16_pos:int,window_utf16_len:int>>"
+FIELDS = ("path", "byte_pos", "byte_len", "utf16_pos", "utf16_len", "window", "window_byte_pos", "window_byte_len", "window_utf16_pos", "window_utf16_len")
 
 
 def spans(text: str) -> list[tuple[int, int]]:
@@ -33,23 +34,24 @@ def utf16(s: str) -> int:
     return len(s) + sum(ord(c) > 0xFFFF for c in s)
 
 
-def window(text: str, toks: list[tuple[int, int]], i: int, size: int) -> str:
-    """At most `size` code points of whole tokens around token i; empty if the token alone does not fit."""
+def window(text: str, toks: list[tuple[int, int]], i: int, size: int) -> tuple[int, int]:
+    """(start, end) of at most `size` code points of whole tokens around token i; empty if the token alone does not fit.
+
+    Of spare room that is odd, one more code point goes before a match of odd length, or behind one of even length.
+    """
     a, b = toks[i]
     if size < b - a or size <= 0:
-        return ""
-    spare = size - (b - a)
-    left = min(spare // 2, a)
-    right = min(spare - left, len(text) - b)
-    left = min(spare - right, a)
-    lo, hi = a - left, b + right
-    if lo > 0 and not text[lo - 1].isspace():  # not within a token
-        lo = next((s for s, _ in toks if s >= lo), a)
-    if hi < len(text) and any(s < hi < e for s, e in toks):
-        hi = max((e for _, e in toks if e <= hi), default=b)
-    while hi < len(text) and hi - lo < size and _punct(text[hi]):
+        return a, a
+    middle = a + (b - a) // 2
+    below, most = middle - size // 2 - 1, middle + (size + 1) // 2
+    lo = next(s for s, _ in toks if s > below)
+    most += lo - 1 - below
+    hi = max(e for _, e in toks if e <= most)
+    while hi < min(len(text), most) and _punct(text[hi]):
         hi += 1
-    return text[lo:hi].strip()
+    if most > hi:
+        lo = next(s for s, _ in toks if s > lo - 1 - (most - hi))
+    return lo, hi
 
 
 def find(values: list[tuple[str, str]], want: list[tuple[str, bool]], most: int, size: int) -> list[tuple]:
@@ -63,7 +65,9 @@ def find(values: list[tuple[str, str]], want: list[tuple[str, bool]], most: int,
             t = normalize_term(text[a:b])
             if any(t == w or p and t.startswith(w) for w, p in want):
                 head, word = text[:a], text[a:b]
-                out.append((path, len(head.encode()), len(word.encode()), utf16(head), utf16(word), window(text, toks, i, size)))
+                lo, hi = window(text, toks, i, size)
+                before, seen = text[:lo], text[lo:hi]
+                out.append((path, len(head.encode()), len(word.encode()), utf16(head), utf16(word), seen, len(before.encode()), len(seen.encode()), utf16(before), utf16(seen)))
     return out
 
 
@@ -105,7 +109,7 @@ def snippet(results: DataFrame, sections: list[Section], terms: list[Term], pref
                     for name, path, want in plan:
                         if name == kind and want:
                             got += find(walk(tree, path), want, per_property, max_window)
-                out.append([dict(zip(("path", "byte_pos", "byte_len", "utf16_pos", "utf16_len", "window"), g)) for g in got])
+                out.append([dict(zip(FIELDS, g)) for g in got])
             yield pdf[["doc_id"]].assign(snippets=out)
 
     made = results.select("doc_id", "schema", root, "rank").mapInPandas(run, f"doc_id long, snippets {MATCHES}")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.operators import index
 from siftline.operators.schema import Section
+from siftline.sources.shared import shared_dir, stamp
 
 NOW_MS = 1_700_000_700_000
 SECTIONS = [Section("*", 0, "body", "prefix", "plain"), Section("*", 1, "subject", "exact", "plain")]
@@ -26,12 +30,42 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_built: dict[tuple, str] = {}
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of this table's written index: sections (tokens once), postings sorted by term, lengths. Built once a session and table."""
+    key = (spark.sparkContext.applicationId, sf_dir, *stamp(spark, f"{sf_dir}/documents.parquet"))
+    if key not in _built:
+        at = f"{shared_dir(spark)}/siftline-index/{uuid.uuid4().hex}"
+        atexit.register(_forget, spark, at)
+        index.section_tokens(documents(spark, sf_dir), SECTIONS).write.parquet(f"{at}/sections")
+        parts = spark.read.parquet(f"{at}/sections")
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        index.write_postings(index.build_postings(parts), f"{at}/postings", n)
+        index.doc_lengths(documents(spark, sf_dir), parts).write.parquet(f"{at}/lengths")
+        _built[key] = at
+    return _built[key]
+
+
+def _forget(spark: SparkSession, at: str) -> None:
+    try:
+        p = spark._jvm.org.apache.hadoop.fs.Path(at)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the session may be gone at exit
+        return
+
+
 def sectioned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.section_tokens(documents(spark, sf_dir), SECTIONS)
+    return spark.read.parquet(f"{_stored(spark, sf_dir)}/sections")
 
 
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.build_postings(sectioned(spark, sf_dir))
+    return spark.read.parquet(f"{_stored(spark, sf_dir)}/postings")
+
+
+def lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{_stored(spark, sf_dir)}/lengths")
 
 
 def usage_reports(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -138,7 +138,23 @@ def test_small_parts():
     t1, t2 = c.add(Frame(), 8, 3), c.add(Frame(), 8, 3)
     assert t1 and t2 and t1 not in c.held and t2 in c.held and c.add(Frame(), 3, 3) == 0
     text = "one two three four five"
-    assert snippet.window(text, snippet.spans(text), 2, 13) == "two three"
+    lo, hi = snippet.window(text, snippet.spans(text), 2, 13)
+    assert text[lo:hi] == "one two three"
     assert snippet.find([("p", "日本 foo 🙂 foo")], [("foo", False)], 9, 0)[1][1:5] == (16, 3, 10, 3)
     assert snippet.walk({"a": [{"b": ["x"]}, {"b": ["y", "z"]}]}, "a.b") == [("a[0].b", "x"), ("a[1].b[0]", "y"), ("a[1].b[1]", "z")]
     assert str(Term("a", "p.q")) == "p.q:a"
+
+
+@pytest.mark.parametrize(
+    "text, word, size, want",
+    [
+        ("foo bar baz", "bar", 3, "bar"), ("foo bar baz", "bar", 11, "foo bar baz"), ("foo baar baz", "baar", 4, "baar"), ("foo baar baz", "baar", 12, "foo baar baz"),
+        ("a bar b", "bar", 6, "a bar"), ("a bar b", "bar", 5, "bar b"), ("a baar b", "baar", 7, "baar b"), ("a baar b", "baar", 6, "baar b"),
+        ("one two three four", "one", 9, "one two"), ("one two three four", "four", 11, "three four"), ("one two, three", "one", 8, "one two,"), ("word", "word", 3, ""),
+    ],
+)
+def test_window_cases(text, word, size, want):
+    """Matches and windows of odd and even length; room that one side has not goes to the other."""
+    toks = snippet.spans(text)
+    lo, hi = snippet.window(text, toks, [text[a:b] for a, b in toks].index(word), size)
+    assert hi - lo <= size and text[lo:hi] == want
