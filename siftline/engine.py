@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import json
 import time
+import uuid
+import zlib
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.operators import index, project, rank, schema, score, snippet, store
 from siftline.plans import match, query
 
-OK, NOT_FOUND, INVALID, EXISTS, FAILED = "OK", "NOT_FOUND", "INVALID_ARGUMENT", "ALREADY_EXISTS", "FAILED_PRECONDITION"
+OK, NOT_FOUND, INVALID, EXISTS, FAILED, DATA_LOSS = "OK", "NOT_FOUND", "INVALID_ARGUMENT", "ALREADY_EXISTS", "FAILED_PRECONDITION", "WARNING_DATA_LOSS"
+MOST_DELTAS = 8
 DOC_COLUMNS = "doc_id long, namespace string, uri string, schema string, creation_ts_ms long, ttl_ms long, score int, deleted boolean"
 
 
@@ -57,71 +61,157 @@ class SearchEngine:
         self.schema = schema.Schema()
         self.docs: DataFrame | None = None
         self.usage: DataFrame | None = None
-        self.delta_postings: DataFrame | None = None
         self.cursors = rank.Cursors()
         self.last_optimize_ms = 0
+        self._specs: dict[int, SearchSpec] = {}
+        #: What is indexed; documents put since, which the next search indexes alone; how many such deltas lie on the base.
         self._indexed: tuple | None = None
+        self._pending: DataFrame | None = None
+        self.deltas = 0
 
     # tables
 
     def initialize(self) -> dict:
-        """Load what was persisted; derived tables are recomputed from the documents."""
+        """Load the last complete state; derived tables are recomputed from the documents.
+
+        A state is a small file that names the folders of its tables, with a checksum of itself. One that is torn, or
+        whose folders are gone, is passed over for the one before it, and the status says that data was lost.
+        """
         self.cursors.clear()
-        if self.path and self._exists("schema"):
-            rows = self.spark.read.text(f"{self.path}/schema").collect()
-            self.schema = decode_schema(rows[0][0])
-        if self.path and self._exists("documents"):
-            self.docs = self.spark.read.parquet(f"{self.path}/documents")
-        if self.path and self._exists("usage"):
-            self.usage = self.spark.read.parquet(f"{self.path}/usage")
-        self._indexed = None
-        return {"status": OK, "num_documents": self.docs.count() if self.docs is not None else 0, "num_schema_types": len(self.schema.types)}
-
-    def _exists(self, name: str) -> bool:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
+        status = OK
+        for name in reversed(self._states()):
+            state = self._read_state(name)
+            if state is None:
+                status = DATA_LOSS
+                continue
+            self.schema = decode_schema(state["schema"]) if state["schema"] else schema.Schema()
+            self.docs = self.spark.read.parquet(f"{self.path}/{state['documents']}") if state["documents"] else None
+            self.usage = self.spark.read.parquet(f"{self.path}/{state['usage']}") if state["usage"] else None
+            break
+        self._forget_index()
+        return {"status": status, "num_documents": self.docs.count() if self.docs is not None else 0, "num_schema_types": len(self.schema.types)}
+
+    def _fs(self, name: str = ""):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+
+    def _states(self) -> list[str]:
+        if not self.path:
+            return []
+        fs, p = self._fs()
+        names = [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+        return sorted(n for n in names if n.startswith("state-"))
+
+    def _read_state(self, name: str) -> dict | None:
+        fs, p = self._fs(name)
+        stream = fs.open(p)
+        try:
+            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        except Py4JJavaError as e:  # the file system's own check failed
+            if "ChecksumException" not in str(e.java_exception.getClass()):
+                raise
+            return None
+        finally:
+            stream.close()
+        crc, _, body = text.partition("\n")
+        if crc != str(zlib.crc32(body.encode())):
+            return None
+        state = json.loads(body)
+        return state if all(not state[k] or fs.exists(self._fs(state[k])[1]) for k in ("documents", "usage")) else None
 
     def persist(self, full: bool = True) -> None:
-        """LITE writes the documents only; FULL also usage and schema. A new folder replaces the old one after it is complete."""
+        """LITE writes the documents only; FULL also usage and schema. What the session holds stays as it is.
+
+        Tables go to folders of their own; a new state is written after they are complete, and only then the old ones go.
+        """
         if not self.path:
             raise EngineError(FAILED, "no path")
-        parts = [("documents", self.docs)] + ([("usage", self.usage)] if full else [])
-        fs_path = self.spark._jvm.org.apache.hadoop.fs.Path
-        for name, df in parts:
-            if df is None:
-                continue
-            new, old = f"{self.path}/{name}.new", f"{self.path}/{name}"
-            df.write.mode("overwrite").parquet(new)
-            p = fs_path(old)
-            fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
-            fs.delete(p, True)
-            fs.rename(fs_path(new), p)
-        if full:
-            self.spark.createDataFrame([(encode_schema(self.schema),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/schema")
-        self.initialize()
+        names = self._states()
+        number = int(names[-1].removeprefix("state-")) + 1 if names else 0
+        old = next((x for x in map(self._read_state, reversed(names)) if x), {"documents": None, "usage": None, "schema": None})
+        state = dict(old)
+        for name, df in [("documents", self.docs)] + ([("usage", self.usage)] if full else []):
+            state[name] = None
+            if df is not None:
+                state[name] = f"{name}-{number:09d}"
+                df.write.mode("overwrite").parquet(f"{self.path}/{state[name]}")
+        if full or not old["schema"]:  # documents without their schema could not be read
+            state["schema"] = encode_schema(self.schema)
+        body = json.dumps(state)
+        fs, p = self._fs(f"state-{number:09d}")
+        out = fs.create(p, True)
+        try:
+            out.write(f"{zlib.crc32(body.encode())}\n{body}".encode())
+        finally:
+            out.close()
+        if state["documents"]:
+            self.docs = self.spark.read.parquet(f"{self.path}/{state['documents']}")
+        if full and state["usage"]:
+            self.usage = self.spark.read.parquet(f"{self.path}/{state['usage']}")
+        for name in names[:-1]:  # the state before this one stays, to fall back on
+            gone = self._read_state(name) or {}
+            fs.delete(self._fs(name)[1], True)
+            for k in ("documents", "usage"):
+                if gone.get(k) and gone[k] not in (state[k], old[k]):
+                    fs.delete(self._fs(gone[k])[1], True)
 
     def reset(self) -> None:
         if self.path:
-            p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
-        self.schema, self.docs, self.usage, self._indexed = schema.Schema(), None, None, None
+            fs, p = self._fs()
+            fs.delete(p, True)
+        self.schema, self.docs, self.usage = schema.Schema(), None, None
+        self._forget_index()
         self.cursors.clear()
 
+    def _forget_index(self) -> None:
+        for t in self._indexed or ():
+            t.unpersist()
+        self._indexed, self._pending, self.deltas = None, None, 0
+
     def _changed(self, docs: DataFrame, reindex: bool = True) -> None:
         self.docs = docs
         if reindex:
-            self._indexed = None
+            self._forget_index()
 
     def index(self) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """(postings, lengths, corpus statistics), kept until documents change."""
-        if self._indexed is None:
-            secs = schema.sections(self.schema)
-            sectioned = index.section_tokens(self.docs, secs, self.normalizer)
-            postings = index.build_postings(sectioned, self.max_tokens).persist()
-            lengths = index.doc_lengths(self.docs, sectioned).persist()
-            self._indexed = (postings, lengths, index.corpus_stats(lengths))
+        """(postings, lengths, corpus statistics). Documents put since the last call are indexed alone, as a delta on what is there.
+
+        After `MOST_DELTAS` of them the index is compacted: written anew, sorted by term, where the engine has a path.
+        """
+        if self._indexed is not None and self._pending is None:
+            return self._indexed
+        new = self.docs if self._indexed is None else self._pending
+        sectioned = index.section_tokens(new, schema.sections(self.schema), self.normalizer)
+        postings, lengths = index.build_postings(sectioned, self.max_tokens), index.doc_lengths(new, sectioned)
+        if self._indexed is not None:
+            postings, lengths = self._indexed[0].unionByName(postings), self._indexed[1].unionByName(lengths)
+            self.deltas += 1
+        lengths = lengths.persist()
+        self._indexed, self._pending = (postings.persist(), lengths, index.corpus_stats(lengths)), None
+        if self.deltas > MOST_DELTAS:
+            self.compact()
         return self._indexed
 
+    def compact(self) -> None:
+        """One index of base and deltas, without what documents no longer hold."""
+        postings, lengths, _ = self.index()
+        kept = postings.join(self.docs.where("NOT deleted").select("doc_id"), "doc_id", "left_semi")
+        if self.path:
+            at, n = f"{self.path}/index-{uuid.uuid4().hex}", max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+            index.write_postings(kept, f"{at}/postings", n)
+            lengths.write.parquet(f"{at}/lengths")
+            old, self._index_at = getattr(self, "_index_at", None), at
+            self._forget_index()
+            made = self.spark.read.parquet(f"{at}/postings"), self.spark.read.parquet(f"{at}/lengths")
+            if old:
+                fs, p = self._fs(old.removeprefix(f"{self.path}/"))
+                fs.delete(p, True)
+        else:
+            made = kept.persist(), lengths
+            made[0].count()
+            postings.unpersist()
+        self._indexed, self.deltas = (*made, index.corpus_stats(made[1])), 0
+
     # schema
 
     def set_schema(self, new: schema.Schema, ignore_errors: bool = False) -> dict:
@@ -168,12 +258,22 @@ class SearchEngine:
         last = None if self.docs is None else self.docs.agg(F.max("doc_id")).first()[0]
         first = 0 if last is None else last + 1
         order = "_order" if "_order" in batch.columns else "uri"
-        rows = store.number(good, first, order)
         cols = ["doc_id", "namespace", "uri", "schema", "creation_ts_ms", "ttl_ms", "score", "deleted", "props"]
+        # written, so that a lost executor cannot number rows again in another order
+        rows = store.write_once(store.number(good, first, order).withColumn("deleted", F.lit(False)).select(*cols))
         now = self.clock()
-        base = self.docs if self.docs is not None else rows.withColumn("deleted", F.lit(False)).select(*cols).limit(0)
-        self._changed(store.upsert(base.select(*cols), rows.withColumn("deleted", F.lit(False)).select(*cols), now))
-        return checked.where("_error IS NOT NULL")
+        base = self.docs if self.docs is not None else rows.limit(0)
+        if self.usage is not None:  # a key that is not alive starts from no usage
+            fresh = rows.select("namespace", "uri").distinct().join(store.alive(base, now).select("namespace", "uri"), ["namespace", "uri"], "left_anti")
+            self.usage = store.write_once(self.usage.join(fresh, ["namespace", "uri"], "left_anti"))
+        new = store.upsert(base.select(*cols), rows, now)
+        pending = new.where(F.col("doc_id") >= first)
+        self._changed(new, reindex=False)
+        if self._indexed is not None:
+            self._pending = pending if self._pending is None else self._pending.unionByName(pending)
+        refused = store.write_once(checked.where("_error IS NOT NULL"))
+        checked.unpersist()
+        return refused
 
     def get(self, namespace: str, uri: str, masks: list[tuple[str, list[str]]] | None = None) -> dict:
         rows = store.alive(self.docs, self.clock()).where((F.col("namespace") == namespace) & (F.col("uri") == uri))
@@ -199,7 +299,7 @@ class SearchEngine:
         return self._delete(F.col("schema") == name, f"type {name}")
 
     def delete_by_query(self, spec: SearchSpec) -> int:
-        ids = self._matched(spec)[0].select("doc_id").persist()
+        ids = store.write_once(self._matched(spec)[0].select("doc_id"))
         n = ids.count()
         if not n:
             raise EngineError(NOT_FOUND, "no document matches")
@@ -210,7 +310,7 @@ class SearchEngine:
         """Reports of alive documents are added; returns how many named none."""
         live = store.alive(self.docs, self.clock()).select("namespace", "uri", "doc_id")
         rows = reports.join(live, ["namespace", "uri"], "left")
-        known = rows.where("doc_id IS NOT NULL").select("namespace", "uri", "usage_timestamp_ms", "usage_type")
+        known = store.write_once(rows.where("doc_id IS NOT NULL").select("namespace", "uri", "usage_timestamp_ms", "usage_type"))
         self.usage = known if self.usage is None else self.usage.unionByName(known)
         return rows.where("doc_id IS NULL").count()
 
@@ -219,7 +319,7 @@ class SearchEngine:
 
     def optimize(self) -> dict:
         before = self.docs.count()
-        self._changed(store.optimize(self.docs, self.clock()).drop("old_doc_id").select(*self.docs.columns).persist())
+        self._changed(store.write_once(store.optimize(self.docs, self.clock()).drop("old_doc_id").select(*self.docs.columns)))
         self.cursors.clear()
         self.last_optimize_ms = self.clock()
         return {"status": OK, "num_original_documents": before, "num_kept_documents": self.docs.count()}
@@ -268,7 +368,7 @@ class SearchEngine:
         ranked = rank.page(limited, 0, rank.CACHED_HITS, spec.order).persist()
         total = ranked.count()
         token = self.cursors.add(ranked, total, spec.per_page)
-        self._specs = getattr(self, "_specs", {})
+        self._specs = {k: v for k, v in self._specs.items() if k in self.cursors.held}
         if token:
             self._specs[token] = spec
         rows = self.retrieve(ranked.where(F.col("rank") <= spec.per_page), spec)
@@ -293,7 +393,7 @@ class SearchEngine:
     def next_page(self, token: int) -> SearchResult:
         """An unknown or used-up token gives an empty page."""
         ranked, again = self.cursors.next(token)
-        spec = getattr(self, "_specs", {}).get(token)
+        spec = self._specs.get(token)
         if ranked is None or spec is None:
             return SearchResult(self.spark.createDataFrame([], "doc_id long, score double, rank int"), 0, {"is_first_page": False})
         return SearchResult(self.retrieve(ranked, spec), again, {"is_first_page": False})

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftline.sources.shared import shared_dir
+
 INT_MAX, UINT_MAX = 2**31 - 1, 2**32 - 1
 TYPES = (1, 2, 3)
 ZERO_USAGE = {f"cnt{t}": 0 for t in TYPES} | {f"last{t}_s": 0 for t in TYPES}
@@ -29,16 +33,24 @@ def doc_filter(docs: DataFrame, now_ms: int, namespaces: list[str] | None = None
 
 
 def number(batch: DataFrame, first: int, order: str) -> DataFrame:
-    """Dense doc_ids in `order` from `first`, without one task that sees all rows: counts by range, then offsets."""
+    """Dense doc_ids in `order` from `first`, without one task that sees all rows: counts by range, then offsets. Rows are written before they are counted."""
     spark = batch.sparkSession
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     laid = batch.repartitionByRange(n, order).withColumn("_p", F.spark_partition_id()).withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy(order)))
-    laid = laid.persist()
+    laid = write_once(laid)
     sizes = laid.groupBy("_p").count()
     before = sizes.withColumn("_o", F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_o")
     return laid.join(F.broadcast(before), "_p").withColumn("doc_id", F.lit(first) + F.col("_o") + F.col("_n") - 1).drop("_p", "_n", "_o")
 
 
+def write_once(df: DataFrame) -> DataFrame:
+    """Written to the shared folder and read back: a plan of one scan, the same rows however often it runs."""
+    spark = df.sparkSession
+    at = f"{shared_dir(spark)}/siftline-tables/{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return spark.read.schema(df.schema).parquet(at)
+
+
 def latest(log: DataFrame) -> DataFrame:
     """The last generation of each (namespace, uri)."""
     w = Window.partitionBy("namespace", "uri").orderBy(F.col("doc_id").desc())

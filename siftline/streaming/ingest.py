@@ -10,7 +10,10 @@ from siftline.operators.store import TYPES
 
 
 def put_stream(stream: DataFrame, engine: SearchEngine, checkpoint: str):
-    """Upsert each micro-batch by (namespace, uri), last write wins; persists after each, so a restart goes on from the checkpoint."""
+    """Upsert each micro-batch by (namespace, uri), last write wins; persists after each, so a restart goes on from the checkpoint.
+
+    A batch is indexed as a delta by the next search; what the session holds beside documents is not reloaded.
+    """
 
     def each(batch: DataFrame, _: int) -> None:
         engine.put(batch)

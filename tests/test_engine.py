@@ -158,3 +158,70 @@ def test_window_cases(text, word, size, want):
     toks = snippet.spans(text)
     lo, hi = snippet.window(text, toks, [text[a:b] for a, b in toks].index(word), size)
     assert hi - lo <= size and text[lo:hi] == want
+
+
+USAGE = "namespace string, uri string, usage_timestamp_ms long, usage_type int"
+
+
+def test_usage_stays_with_a_key_until_it_is_deleted(spark, tmp_path):
+    e = SearchEngine(spark, path=str(tmp_path / "t"), clock=lambda: 10_000)
+    e.set_schema(EMAIL)
+    put(spark, e, [mail("a", "t", "word"), mail("b", "t", "word")])
+    e.report_usage(spark.createDataFrame([("ns", "a", 5000, 1), ("ns", "b", 5000, 1), ("ns", "b", 6000, 1)], USAGE))
+    score = lambda: {r.uri: r.score for r in e.search(SearchSpec("word", rank_by="usage_type1_count")).rows.collect()}
+    put(spark, e, [mail("a", "t", "word again")])
+    assert score() == {"a": 1.0, "b": 2.0}
+    e.delete("ns", "b")
+    put(spark, e, [mail("b", "t", "word anew")])
+    assert score() == {"a": 1.0, "b": 0.0}
+    e.persist()
+    e.report_usage(spark.createDataFrame([("ns", "a", 7000, 1)], USAGE))
+    e.persist(full=False)  # documents only; what the session knows of usage stays
+    assert score() == {"a": 2.0, "b": 0.0}
+    again = SearchEngine(spark, path=str(tmp_path / "t"), clock=lambda: 10_000)
+    assert again.initialize() == {"status": "OK", "num_documents": 4, "num_schema_types": 1} and again.usage.count() == 1
+
+
+def test_puts_are_indexed_as_deltas(spark, tmp_path, monkeypatch):
+    from siftline import engine as module
+
+    monkeypatch.setattr(module, "MOST_DELTAS", 2)
+    for path in (None, str(tmp_path / "t")):
+        e = SearchEngine(spark, path=path, clock=lambda: 10_000)
+        e.set_schema(EMAIL)
+        seen = []
+        for i in range(5):
+            put(spark, e, [mail(f"d{i}", "s", f"word w{i}"), mail("same", "s", f"word v{i}")])
+            assert sorted(uris(e.search(SearchSpec("word")))) == sorted([*(f"d{k}" for k in range(i + 1)), "same"])
+            seen.append(e.deltas)
+        assert seen == [0, 1, 2, 0, 1]
+        assert uris(e.search(SearchSpec("v3"))) == [] and uris(e.search(SearchSpec("v4"))) == ["same"]
+        deltas = {r.uri: r.score for r in e.search(SearchSpec("word", rank_by="relevance")).rows.collect()}
+        e._forget_index()
+        whole = {r.uri: r.score for r in e.search(SearchSpec("word", rank_by="relevance")).rows.collect()}
+        assert deltas == pytest.approx(whole)
+
+
+def test_a_torn_state_falls_back_to_the_one_before(spark, tmp_path):
+    at = str(tmp_path / "t")
+    e = SearchEngine(spark, path=at, clock=lambda: 10_000)
+    e.set_schema(EMAIL)
+    put(spark, e, [mail("a", "t", "one")])
+    e.persist()
+    put(spark, e, [mail("b", "t", "two")])
+    e.persist()
+    last = sorted((tmp_path / "t").glob("state-*"))[-1]
+    last.write_text(last.read_text()[:-3])
+    again = SearchEngine(spark, path=at, clock=lambda: 10_000)
+    got = again.initialize()
+    assert got["status"] == "WARNING_DATA_LOSS" and got["num_documents"] == 1 and uris(again.search(SearchSpec("one"))) == ["a"]
+
+
+def test_usage_stream(spark, tmp_path):
+    from siftline.streaming.ingest import usage_stream
+
+    spark.createDataFrame([("n", "a", 5500, 1), ("n", "a", 1000, 1), ("n", "a", 2000, 2)], USAGE).write.parquet(str(tmp_path / "in"))
+    q = usage_stream(spark.readStream.schema(USAGE).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("used").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    r = spark.table("used").first()
+    assert (r.cnt1, r.last1_s, r.cnt2, r.last2_s, r.cnt3) == (2, 5, 1, 2, 0)
