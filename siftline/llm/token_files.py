@@ -5,7 +5,7 @@ The top 4 bits of a word select how many ids of how many bits fill its low 60 bi
 1024 ids start at a word of their own, whose offset the segment lists, so blocks decode
 independently. An id of 2^60 or more is an escape: selector 15, then the id as a raw word.
 
-Segments are rows (part, seg, n_ids, n_docs, data) of a Parquet dataset, so any Hadoop file
+Segments are rows (part, seg, first, n_ids, n_docs, data) of a Parquet dataset (first: ids before it in its part), so any Hadoop file
 system holds them and Spark's commit protocol covers lost executors. Parts follow ascending doc_id.
 
 Defined results: null text is the empty text (one end id); null doc_id sorts first; repeated rows
@@ -77,17 +77,21 @@ def pack_words(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
     return words, offsets, bool(wide.any())
 
 
-def unpack_words(words: np.ndarray, n: int, escapes: bool) -> np.ndarray:
+def unpack_words(words: np.ndarray, n: int, offsets: np.ndarray | None = None) -> np.ndarray:
+    """The n ids; `offsets`: of the blocks, where escapes occur. Only blocks with an escape are walked word by word."""
     words = words.astype(np.uint64)
     s = (words >> np.uint64(60)).astype(np.int64)
-    if escapes:
-        head, i = [], 0
-        while i < len(words):
-            head.append(i)
-            i += 1 + (s[i] == ESCAPE)
-        head = np.array(head, np.int64)
-    else:
-        head = np.arange(len(words))
+    is_head = np.ones(len(words), bool)
+    if offsets is not None:
+        for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+            if not (s[lo:hi] == ESCAPE).any():
+                continue
+            while lo < hi:
+                if s[lo] == ESCAPE:
+                    is_head[lo + 1] = False
+                    lo += 1
+                lo += 1
+    head = np.flatnonzero(is_head)
     s = s[head]
     counts = np.array([*COUNTS, 1], np.int64)[s]
     start = np.cumsum(counts) - counts
@@ -123,9 +127,10 @@ def read_segment(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]
     docs = np.frombuffer(data, "<i8", n_docs, at)
     nulls = np.frombuffer(data, np.uint8, n_docs, at + 8 * n_docs)
     lengths = np.frombuffer(data, "<u8", n_docs, at + 9 * n_docs)
-    at += 17 * n_docs + 4 * (n_blocks + 1)
-    words = np.frombuffer(data[at:], "<u8")
-    return [None if z else int(d) for d, z in zip(docs, nulls)], lengths.astype(np.int64), unpack_words(words, n_ids, bool(escapes))
+    at += 17 * n_docs
+    offsets = np.frombuffer(data, "<u4", n_blocks + 1, at).astype(np.int64)
+    words = np.frombuffer(data[at + 4 * (n_blocks + 1) :], "<u8")
+    return [None if z else int(d) for d, z in zip(docs, nulls)], lengths.astype(np.int64), unpack_words(words, n_ids, offsets if escapes else None)
 
 
 def read_block(data: bytes, block: int) -> np.ndarray:
@@ -135,7 +140,7 @@ def read_block(data: bytes, block: int) -> np.ndarray:
     offsets = np.frombuffer(data, "<u4", n_blocks + 1, at)
     base = at + 4 * (n_blocks + 1)
     words = np.frombuffer(data, "<u8", int(offsets[block + 1] - offsets[block]), base + 8 * int(offsets[block]))
-    return unpack_words(words, min(size, n_ids - block * size), bool(escapes))
+    return unpack_words(words, min(size, n_ids - block * size), np.array([0, len(words)]) if escapes else None)
 
 
 def write_token_files(df: DataFrame, tokenizer: str, path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -147,12 +152,12 @@ def write_token_files(df: DataFrame, tokenizer: str, path: str, end_id: int = 2,
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, seg = bpe.encoder(tokenizer), TaskContext.get().partitionId(), 0
-        docs, sizes, held, n = [], [], [], 0
+        docs, sizes, held, n, first = [], [], [], 0, 0
         end = np.array([end_id], "<u4").tobytes()
 
         def flush():
             data = write_segment(docs, sizes, np.frombuffer(b"".join(held), "<u4"))
-            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seg": pa.array([seg], pa.int32()), "n_ids": pa.array([n], pa.int64()), "n_docs": pa.array([len(docs)], pa.int64()), "data": pa.array([data], pa.binary())})
+            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seg": pa.array([seg], pa.int32()), "first": pa.array([first], pa.int64()), "n_ids": pa.array([n], pa.int64()), "n_docs": pa.array([len(docs)], pa.int64()), "data": pa.array([data], pa.binary())})
 
         for b in batches:
             for lo in range(0, b.num_rows, 256):
@@ -161,7 +166,7 @@ def write_token_files(df: DataFrame, tokenizer: str, path: str, end_id: int = 2,
                     k = len(x) // 4 + 1
                     if n and n + k > SEGMENT_IDS:
                         yield flush()
-                        docs, sizes, held, n, seg = [], [], [], 0, seg + 1
+                        docs, sizes, held, n, seg, first = [], [], [], 0, seg + 1, first + n
                     docs.append(d)
                     sizes.append(k)
                     held += (x, end)
@@ -169,32 +174,31 @@ def write_token_files(df: DataFrame, tokenizer: str, path: str, end_id: int = 2,
         if n:
             yield flush()
 
-    laid.mapInArrow(encode, "part int, seg int, n_ids long, n_docs long, data binary").write.parquet(path, compression="none")
+    laid.mapInArrow(encode, "part int, seg int, first long, n_ids long, n_docs long, data binary").write.parquet(path, compression="none")
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """Per document of the files: doc_id, start, n_tokens, ids_crc32, part, seg."""
-    segs = spark.read.schema("part int, seg int, n_ids long, n_docs long, data binary").parquet(path)
-    # two numbers a segment of 2^18 ids: the driver's share is a millionth of the ids' bytes
-    sizes = {(r[0], r[1]): r[2] for r in segs.select("part", "seg", "n_ids").collect()}
+    segs = spark.read.schema("part int, seg int, first long, n_ids long, n_docs long, data binary").parquet(path)
     starts, total = {}, 0
-    for k in sorted(sizes):
-        starts[k] = total
-        total += sizes[k]
+    for part, n in sorted(tuple(r) for r in segs.groupBy("part").agg(F.sum("n_ids")).collect()):  # a row a part
+        starts[part] = total
+        total += n
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
                 part, seg = b.column(0)[i].as_py(), b.column(1)[i].as_py()
-                docs, lengths, ids = read_segment(b.column(2)[i].as_py())
+                begin = starts[part] + b.column(2)[i].as_py()
+                docs, lengths, ids = read_segment(b.column(3)[i].as_py())
                 raw, ends = ids.astype("<u4").tobytes(), np.cumsum(lengths)
                 crc = [zlib.crc32(raw[4 * (e - k) : 4 * e]) for e, k in zip(ends.tolist(), lengths.tolist())]
                 yield pa.RecordBatch.from_pydict({
-                    "doc_id": pa.array(docs, pa.int64()), "start": pa.array(starts[part, seg] + ends - lengths, pa.int64()), "n_tokens": pa.array(lengths, pa.int64()),
+                    "doc_id": pa.array(docs, pa.int64()), "start": pa.array(begin + ends - lengths, pa.int64()), "n_tokens": pa.array(lengths, pa.int64()),
                     "ids_crc32": pa.array(crc, pa.int64()), "part": pa.array([part] * len(docs), pa.int32()), "seg": pa.array([seg] * len(docs), pa.int32()),
                 })
 
-    return segs.select("part", "seg", "data").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long, part int, seg int")
+    return segs.select("part", "seg", "first", "data").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long, part int, seg int")
 
 
 def token_digest(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2) -> DataFrame:
