@@ -38,15 +38,17 @@ def main() -> None:
 
 def serve(spark, sf: str) -> dict[str, float]:
     """The same searches over a written, term-sorted postings table: what a running index costs a query."""
-    import tempfile
+    import uuid
 
     from siftline.operators import index, rank, score, store
     from siftline.plans import match, query
     from siftline.sources import tables
+    from siftline.sources.shared import shared_dir
 
-    out, at = {}, tempfile.mkdtemp(prefix="bench-")
+    out, at = {}, f"{shared_dir(spark)}/bench-{uuid.uuid4().hex}"
     t = time.time()
-    index.write_postings(tables.postings(spark, sf), f"{at}/postings", 8)
+    made = index.section_tokens(tables.documents(spark, sf), tables.SECTIONS)
+    index.write_postings(index.build_postings(made), f"{at}/postings", 8)
     out["index_build"] = round(time.time() - t, 3)
     posts = spark.read.parquet(f"{at}/postings")
     docs = store.doc_filter(tables.documents(spark, sf), tables.NOW_MS).withColumnRenamed("score", "score_input").select("doc_id", "namespace", "schema", "score_input", "creation_ts_ms")
