@@ -4,8 +4,9 @@ A softmax classifier, fitted on a bounded draw of labelled rows, predicts for ev
 is of each domain (low, high, toxic, by the labels table). Nonnegative rates per document are then
 fitted by projected gradient steps so that the expected token totals of the domains match the targets in
 least squares: each step is one aggregation over all documents of rate x tokens x posterior, and moves
-every rate against the misfit, in the metric of the tokens' second moments, cutting it at zero (at one, to cover). Rates are a fold over the
-steps' vectors, so no state is kept between passes.
+every rate against the misfit, in the metric of the second moments of the tokens whose rates are not cut. Rates are
+what the sum of the steps makes of one, cut at zero (at one, to cover), so no state is kept between passes, and of all rates
+that meet the targets they are those that change least.
 
 Bounds, parameters: `per_class` labelled rows a domain for the fit; everything else reads all rows.
 
@@ -117,56 +118,73 @@ def posteriors(docs: DataFrame, labels: DataFrame, domains: tuple[str, ...] = DO
 
 
 def _rate(p: Column, steps: list[list[float]], cover: bool) -> Column:
-    rate, least = F.lit(1.0), F.lit(1.0 if cover else 0.0)
-    if not steps:
-        return rate
-    all_steps = F.array(*[F.array(*map(F.lit, s)) for s in steps])
-    dot = lambda s: F.aggregate(F.zip_with(p, s, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    return F.aggregate(all_steps, rate, lambda r, s: F.greatest(least, r - dot(s)))
+    """One less the summed steps along p, cut at zero (at one, to cover)."""
+    least = F.lit(1.0 if cover else 0.0)
+    return F.greatest(least, F.lit(1.0) - sum(p[d] * F.lit(float(x)) for d, x in enumerate(map(sum, zip(*steps))))) if steps else F.lit(1.0)
 
 
-def fit_rates(rated: DataFrame, targets: list[float], cover: bool, rounds: int = 200, close: float = 1e-4, most: float = 4.0, still: float = 1e-3) -> list[list[float]]:
-    """The steps whose fold gives each document's rate. `rated`: tokens, p.
+def fit_rates(rated: DataFrame, targets: list[float], cover: bool, rounds: int = 200, close: float = 1e-4, most: float = 4.0, soft: float = 1e-7) -> list[list[float]]:
+    """The steps whose sum gives each document's rate. `rated`: tokens, p.
 
-    Steps end when the targets are met or, where rates cannot meet them, at the least squares: a step then takes
-    less than the share `still` off the misfit. Not to settle in `rounds` is an error.
+    Steps end when the targets are met or, where rates cannot meet them, at the least squares, found where the
+    gradient of the misfit and of `soft` times the change of rates vanishes. Both make one convex function of the summed
+    steps, which no step may raise, so a few steps settle it. Not to settle in `rounds` is an error.
 
     With `cover` totals start where no domain shrinks and grow, up to `most` times that, with what rates of one or more make of any domain.
     """
     k = len(targets)
-    part = [F.col("p")[d] for d in range(k)]
-    sums = [F.sum(F.col("tokens") * a) for a in part] + [F.sum(F.col("tokens") * a * b) for a in part for b in part]
-    row = [float(x or 0) for x in rated.agg(*[s.alias(f"s{i}") for i, s in enumerate(sums)]).first()]
-    have, moment = np.array(row[:k]), np.array(row[k:]).reshape(k, k)
+    low = 1.0 if cover else 0.0
+    of = [(d, e) for d in range(k) for e in range(d, k)]
+
+    def measure(steps: list[list[float]]) -> tuple[np.ndarray, np.ndarray, float]:
+        """Totals, second moments of the rows that are not cut, and the integral of the rates along the steps; one pass."""
+        rate, t = _rate(F.col("p"), steps, cover), F.col("tokens").cast("double")
+        free = F.lit(1.0) - sum((F.col("p")[d] * F.lit(float(x)) for d, x in enumerate(map(sum, zip(*steps)))), F.lit(0.0))
+        slim = rated.select(*[F.col("p")[d].alias(f"p{d}") for d in range(k)], (t * rate).alias("mass"), F.when(free >= low, t).otherwise(0.0).alias("moves"), (t * F.when(free >= low, free * free / 2).otherwise(low * (free - low / 2))).alias("area"))
+        row = slim.agg(*[F.sum(F.col("mass") * F.col(f"p{d}")) for d in range(k)], *[F.sum(F.col("moves") * F.col(f"p{d}") * F.col(f"p{e}")) for d, e in of], F.sum("area")).first()
+        got = [float(x or 0) for x in row]
+        moment = np.zeros((k, k))
+        for (d, e), x in zip(of, got[k:]):
+            moment[d, e] = moment[e, d] = x
+        return np.array(got[:k]), moment, got[-1]
+
+    have, moment, area = measure([])
     total = have.sum()
     if total <= 0:
         return []
+    have, moment, area = have / total, moment / total, area / total
     w = np.array(targets) / sum(targets)
     least = lambda: max(h / x for h, x in zip(have, w) if x > 0)
-    scale = start = least() if cover else total
-    back = np.linalg.inv(moment + 1e-6 * np.trace(moment) * np.eye(k))
+    scale = start = least() if cover else 1.0
     steps: list[list[float]] = []
-    misfits: list[float] = []
+    at = np.zeros(k)
     for _ in range(rounds):
         if cover:
             scale = min(max(scale, least()), most * start)
         want = w * scale
-        misfits.append(float(np.abs(have - want).max()) / total)
-        if misfits[-1] <= close:
+        slope = soft * at + want - have
+        if np.abs(have - want).max() <= close or np.abs(slope).max() <= 0.1 * close:
             break
-        if len(misfits) > 3 and misfits[-1] > (1 - still) * misfits[-2] and misfits[-2] > (1 - still) * misfits[-3]:
-            warnings.warn(f"targets out of reach: misfit {misfits[-1]:.4f} of all tokens", stacklevel=2)
-            break
-        steps.append((back @ (have - want)).tolist())
-        now = rated.withColumn("r", _rate(F.col("p"), steps, cover))
+        step = -np.linalg.solve(moment + soft * np.eye(k), slope)
+        worth = soft / 2 * at @ at + want @ at + area
+        while True:
+            new, new_moment, new_area = (x / total for x in measure([*steps, step.tolist()]))
+            to = at + step
+            if soft / 2 * to @ to + want @ to + new_area <= worth + 1e-4 * slope @ step + 1e-12 * (1 + abs(worth)):
+                break
+            step = step / 4  # the function is convex, so a short step does not raise it
         was = have.sum()
-        have = np.array([float(x or 0) for x in now.agg(*[F.sum(F.col("tokens") * F.col("r") * a).alias(f"s{i}") for i, a in enumerate(part)]).first()])
+        at, have, moment, area = to, new, new_moment, new_area
+        steps.append(step.tolist())
         if cover and have.sum() > most * start:  # totals are convex in a step: this part of it stays within
             part_of = max(0.0, (most * start - was) / (have.sum() - was))
             steps[-1] = [x * part_of for x in steps[-1]]
-            break
+            warnings.warn("targets out of reach: totals end where they grow too far", stacklevel=2)
+            return steps
     else:
         raise RuntimeError(f"rates did not settle in {rounds} steps")
+    if (misfit := float(np.abs(have - want).max())) > close:
+        warnings.warn(f"targets out of reach: misfit {misfit:.4f} of all tokens", stacklevel=2)
     return steps
 
 

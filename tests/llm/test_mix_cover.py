@@ -30,3 +30,22 @@ def test_cover_with_posteriors_too_soft_for_the_targets(spark):
     rate = mixing._rate(F.col("p"), mixing.fit_rates(rated, [0.15, 0.85], True), True)
     r = rated.select(F.min(rate), F.sum(rate * F.col("tokens")) / F.sum("tokens")).first()
     assert r[0] >= 1 and r[1] < 4 / 0.15
+
+
+def test_targets_that_cut_most_rates_settle_at_the_least_change(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    z = np.exp(rng.normal(size=(3000, 3)) * 2 + [0, 2.5, -1])
+    p, tokens = z / z.sum(axis=1, keepdims=True), rng.integers(1, 400, 3000)
+    rated = spark.createDataFrame([(int(t), x.tolist()) for t, x in zip(tokens, p)], "tokens long, p array<double>").cache()
+    passes = []
+    first = type(rated).first
+    monkeypatch.setattr(type(rated), "first", lambda df: passes.append(1) or first(df))
+    targets = np.array([0.30, 0.69, 0.01])
+    steps = mixing.fit_rates(rated, targets.tolist(), False)
+    assert len(passes) <= 25
+    rate = np.array([r[0] for r in rated.select(mixing._rate(F.col("p"), steps, False)).collect()])
+    assert np.abs((tokens * rate) @ p / tokens.sum() - targets).max() < 2e-4
+    # rates that change least are one less a combination of posteriors where they are not cut, and cut where that is negative
+    some = rate > 0
+    along = np.linalg.lstsq(p[some], 1 - rate[some], rcond=None)[0]
+    assert np.abs(1 - p @ along - np.where(some, rate, np.minimum(0, 1 - p @ along))).max() < 1e-6 and (rate == 0).mean() > 0.1
