@@ -130,7 +130,8 @@ def fit_rates(rated: DataFrame, targets: list[float], cover: bool, rounds: int =
     gradient of the misfit and of `soft` times the change of rates vanishes. Both make one convex function of the summed
     steps, which no step may raise, so a few steps settle it. Not to settle in `rounds` is an error.
 
-    With `cover` totals start where no domain shrinks and grow, up to `most` times that, with what rates of one or more make of any domain.
+    With `cover` targets are shares of whatever total rates of one or more make, so steps lie across the targets; totals
+    grow to `most` times what lets no domain shrink, at most. Where no growth comes nearer to the targets, rates stay at one.
     """
     k = len(targets)
     low = 1.0 if cover else 0.0
@@ -154,18 +155,16 @@ def fit_rates(rated: DataFrame, targets: list[float], cover: bool, rounds: int =
         return []
     have, moment, area = have / total, moment / total, area / total
     w = np.array(targets) / sum(targets)
-    least = lambda: max(h / x for h, x in zip(have, w) if x > 0)
-    scale = start = least() if cover else 1.0
+    start = max(h / x for h, x in zip(have, w) if x > 0)
+    across = np.linalg.svd(w[None])[2][1:] if cover else np.eye(k)
     steps: list[list[float]] = []
     at = np.zeros(k)
     for _ in range(rounds):
-        if cover:
-            scale = min(max(scale, least()), most * start)
-        want = w * scale
-        slope = soft * at + want - have
+        want = w * (have.sum() if cover else 1.0)
+        slope = across.T @ (across @ (soft * at + want - have))
         if np.abs(have - want).max() <= close or np.abs(slope).max() <= 0.1 * close:
             break
-        step = -np.linalg.solve(moment + soft * np.eye(k), slope)
+        step = -across.T @ np.linalg.solve(across @ moment @ across.T + soft * np.eye(len(across)), across @ slope)
         worth = soft / 2 * at @ at + want @ at + area
         while True:
             new, new_moment, new_area = (x / total for x in measure([*steps, step.tolist()]))

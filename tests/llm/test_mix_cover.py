@@ -49,3 +49,18 @@ def test_targets_that_cut_most_rates_settle_at_the_least_change(spark, monkeypat
     some = rate > 0
     along = np.linalg.lstsq(p[some], 1 - rate[some], rcond=None)[0]
     assert np.abs(1 - p @ along - np.where(some, rate, np.minimum(0, 1 - p @ along))).max() < 1e-6 and (rate == 0).mean() > 0.1
+
+
+def test_cover_settles_in_few_passes_where_growth_spills_over(spark, monkeypatch):
+    rng = np.random.default_rng(0)
+    high = 1 / (1 + np.exp(-rng.normal(size=4000) * 0.5 - 1.5))
+    p, tokens = np.stack([1 - high, high], axis=1), rng.lognormal(5, 1, 4000).round().astype(int)
+    rated = spark.createDataFrame([(int(t), x.tolist()) for t, x in zip(tokens, p)], "tokens long, p array<double>").cache()
+    passes = []
+    first = type(rated).first
+    monkeypatch.setattr(type(rated), "first", lambda df: passes.append(1) or first(df))
+    steps = mixing.fit_rates(rated, [0.15, 0.85], True)
+    rate = np.array([r[0] for r in rated.select(mixing._rate(F.col("p"), steps, True)).collect()])
+    totals = (tokens * rate) @ p
+    assert rate.min() >= 1 and np.abs(totals / totals.sum() - [0.15, 0.85]).max() < 2e-4
+    assert len(passes) <= 12
