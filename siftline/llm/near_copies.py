@@ -3,8 +3,9 @@
 Complete by prefix filtering: put every text's n shingles in one global order, and two texts of similarity
 s share a shingle among the first n - ceil(s n) + 1 of each. Shingles that a bounded draw of texts shows often
 come last in that order, so boilerplate rarely stands in a prefix; any order is complete, the draw only
-saves work. Texts that meet at a shingle, and whose lengths and positions allow s, are compared by their whole
-sets, in rounds between which what is alike becomes one group, and only members of different groups are
+saves work. Texts that meet at a shingle, and whose lengths, positions and signs allow s, are compared by their whole
+sets (a sign has the parity of a set's shingles in each of 1,024 cells: two sets differ in as many shingles at
+least as their signs in cells, so the bound loses no pair), in rounds between which what is alike becomes one group, and only members of different groups are
 compared further: each meeting's members against its first; against a few members of one random order that
 all meetings share; against those that are alike to most; last, all that are left against each other. So a large group of
 near copies costs a few comparisons a member, though its members be alike in part only.
@@ -33,6 +34,8 @@ DRAWN, LAST = 20_000, 50_000
 PARTS = 8
 #: Members of a meeting that all others are held against: of the random order, and of those alike to most (the former are among them).
 PIVOTS = (12, 60)
+#: Cells of a sign.
+CELLS = 1024
 _EPS = 1e-9
 
 
@@ -53,8 +56,18 @@ def _may(na: np.ndarray, ia: np.ndarray, nb: np.ndarray, ib: np.ndarray, least:
     return most + _EPS >= least / (1 + least) * (na + nb)
 
 
+def sign(h: np.ndarray) -> bytes:
+    """The parity of a set of shingles in each cell."""
+    return np.packbits(np.bincount(h & (CELLS - 1), minlength=CELLS) & 1 == 1).tobytes()
+
+
+def _signs_may(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, least: float) -> np.ndarray:
+    """Whether sets of these signs and sizes can reach `least`: of na + nb they differ in (1 - s) / (1 + s) at most."""
+    return np.bitwise_count(a ^ b).sum(axis=-1) <= (1 - least) / (1 + least) * (na + nb) + _EPS
+
+
 def _postings(texts: DataFrame, words: int, least: float) -> DataFrame:
-    """sh, node, n, at: the prefix of each text in the global order."""
+    """sh, node, n, at: the prefix of each text in the global order; each text's first row has its sign."""
     n_texts = texts.count()
     drawn = texts.where(F.pmod(F.xxhash64("text"), F.lit(max(1, -(-n_texts // DRAWN)))) == 0).select("text")
 
@@ -72,7 +85,7 @@ def _postings(texts: DataFrame, words: int, least: float) -> DataFrame:
         known, count = shared.value
         for b in batches:
             for lo in range(0, len(b), 500):
-                sh, node, size, at = [], [], [], []
+                sh, node, size, at, signs = [], [], [], [], []
                 for k, t in zip(b.column(0).slice(lo, 500).to_pylist(), b.column(1).slice(lo, 500).to_pylist()):
                     h = shingle_set(t, words)
                     rank = np.zeros(len(h), np.int64)
@@ -85,9 +98,14 @@ def _postings(texts: DataFrame, words: int, least: float) -> DataFrame:
                     node.append(np.full(keep, k, np.int64))
                     size.append(np.full(keep, n, np.int32))
                     at.append(np.arange(keep, dtype=np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (sh, node, size, at)], names=["sh", "node", "n", "at"])
+                    signs += [sign(h), *[None] * (keep - 1)]
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(x)) for x in (sh, node, size, at)), pa.array(signs, pa.binary())], names=["sh", "node", "n", "at", "sign"])
+
+    return texts.select("node", "text").mapInArrow(first, "sh long, node long, n int, at int, sign binary")
+
 
-    return texts.select("node", "text").mapInArrow(first, "sh long, node long, n int, at int")
+def _words(col: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(col.to_pylist()), np.uint64).reshape(len(col), CELLS // 64)
 
 
 class _Runs:
@@ -99,7 +117,7 @@ class _Runs:
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
         held: list[np.ndarray] | None = None
         for b in batches:
-            new = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+            new = [_words(c) if pa.types.is_binary(c.type) else c.to_numpy(zero_copy_only=False) for c in b.columns]
             held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
             if len(held[0]) < 100_000:
                 continue
@@ -123,35 +141,38 @@ def _pairs(us: list[np.ndarray], vs: list[np.ndarray]) -> pa.RecordBatch:
 
 
 def _held(met: DataFrame, least: float, pivots: int, hot: list[int]) -> DataFrame:
-    """u, v: members of a meeting, of another group than the pivot's, with each of its `pivots` first by turn. `met`: sh, turn, node, n, at, root."""
+    """u, v: members of a meeting, of another group than the pivot's, with each of its `pivots` first by turn. `met`: sh, turn, node, n, at, root and, if known, sign."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, _, _, node, n, at, root), cuts in _Runs(2)(batches):
+        for (_, _, _, node, n, at, root, *known), cuts in _Runs(2)(batches):
             size = np.diff(cuts)
             for r in range(min(pivots, int(size.max()))):
                 first = np.repeat(np.where(size > r, cuts[:-1] + r, cuts[:-1]), size)
-                ok = (root[first] != root) & _may(n[first], at[first], n, at, least)
+                ok = np.flatnonzero((root[first] != root) & _may(n[first], at[first], n, at, least))
+                for signs in known:
+                    ok = ok[_signs_may(signs[first[ok]], n[first[ok]], signs[ok], n[ok], least)]
                 yield _pairs([node[first][ok]], [node[ok]])
 
     # the parts of a large meeting have pivots of their own
     part = F.when(F.col("sh").isin(hot), F.pmod(F.xxhash64("node"), F.lit(PARTS))).otherwise(F.lit(0)) if hot else F.lit(0)
     dealt = met.withColumn("part", part).repartition(partitions(met.sparkSession), "sh", "part").sortWithinPartitions("sh", "part", "turn", "node")
-    return dealt.select("sh", "part", "turn", "node", "n", "at", "root").mapInArrow(run, "u long, v long").distinct()
+    return dealt.select("sh", "part", "turn", "node", "n", "at", "root", *{"sign"}.intersection(met.columns)).mapInArrow(run, "u long, v long").distinct()
 
 
 def _crossings(met: DataFrame, least: float) -> DataFrame:
-    """u, v: members of a meeting that are not in one group. `met`: sh, part, node, n, at, root."""
+    """u, v: members of a meeting that are not in one group. `met`: sh, part, node, n, at, root, sign."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, _, node, n, at, root), cuts in _Runs(2)(batches):
+        for (_, _, node, n, at, root, signs), cuts in _Runs(2)(batches):
             us, vs, held = [], [], 0
             for s, e in zip(cuts[:-1], cuts[1:]):
                 for i in range(s, e - 1):  # by n: none beyond n / least can be alike
                     stop = s + int(np.searchsorted(n[s:e], n[i] / least + _EPS, "right"))
                     other = slice(i + 1, stop)
-                    ok = (root[other] != root[i]) & (node[other] != node[i]) & _may(n[i], at[i], n[other], at[other], least)
-                    if ok.any():
-                        vs.append(node[other][ok])
+                    ok = np.flatnonzero((root[other] != root[i]) & (node[other] != node[i]) & _may(n[i], at[i], n[other], at[other], least)) + i + 1
+                    ok = ok[_signs_may(signs[i], n[i], signs[ok], n[ok], least)]
+                    if len(ok):
+                        vs.append(node[ok])
                         us.append(np.full(len(vs[-1]), node[i]))
                         held += len(vs[-1])
                     if held > 500_000:
@@ -160,7 +181,7 @@ def _crossings(met: DataFrame, least: float) -> DataFrame:
             yield _pairs(us, vs)
 
     dealt = met.repartition(partitions(met.sparkSession), "sh", "part").sortWithinPartitions("sh", "part", "n", "node")
-    return dealt.select("sh", "part", "node", "n", "at", "root").mapInArrow(run, "u long, v long").distinct()
+    return dealt.select("sh", "part", "node", "n", "at", "root", "sign").mapInArrow(run, "u long, v long").distinct()
 
 
 def _alike(pairs: DataFrame, texts: DataFrame, words: int, least: float, name: str) -> DataFrame:
@@ -187,18 +208,19 @@ def _alike(pairs: DataFrame, texts: DataFrame, words: int, least: float, name: s
 def groups(texts: DataFrame, words: int = WORDS, least: float = LEAST) -> DataFrame:
     """(node, root) of every text that is like another. `texts`: node (long, unique), text (not null), read more than once."""
     post = materialize(_postings(texts, words, least), "near-prefixes")
+    signs, post = post.where("sign IS NOT NULL").select("node", "sign"), post.drop("sign")
     often = materialize(post.groupBy("sh").agg(F.count("*").alias("m")).where("m > 1"), "near-meetings")
     met = materialize(post.join(often.select("sh").hint("merge"), "sh", "left_semi"), "near-met")
     pairs = materialize(_held(met.withColumns({"turn": F.lit(0).cast("long"), "root": F.col("node")}), least, 1, hot_keys(often, "sh", "m", met.count(), share=0.001)), "near-pairs")
     links = _alike(pairs, texts, words, least, "near-links")
     for turn, pivots in ((F.xxhash64("node"), PIVOTS[0]), (-F.coalesce("degree", F.lit(0)), PIVOTS[1])):
-        left, hot = _open(met, components(links))
+        left, hot = _open(met, components(links), signs)
         ends = links.select("u").unionByName(links.select(F.col("v").alias("u")))
         degree = ends.groupBy(F.col("u").alias("node")).agg(F.count("*").alias("degree"))
         held = _held(left.join(degree.hint("merge"), "node", "left").withColumn("turn", turn), least, pivots, hot)
         new = materialize(held.join(pairs.hint("merge"), ["u", "v"], "left_anti"), "near-pairs")
         pairs, links = pairs.unionByName(new), links.unionByName(_alike(new, texts, words, least, "near-links"))
-    left, hot = _open(met, components(links))
+    left, hot = _open(met, components(links), signs)
     mine = F.pmod(F.xxhash64("node"), F.lit(PARTS)).cast("int")
     deal = F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda x: F.least(mine, x) * PARTS + F.greatest(mine, x))
     part = F.explode(F.when(F.col("sh").isin(hot), deal).otherwise(F.array(F.lit(0)))) if hot else F.lit(0)
@@ -206,11 +228,11 @@ def groups(texts: DataFrame, words: int = WORDS, least: float = LEAST) -> DataFr
     return components(links.unionByName(_alike(crossed, texts, words, least, "near-links")))
 
 
-def _open(met: DataFrame, roots: DataFrame) -> tuple[DataFrame, list[int]]:
-    """(sh, node, n, at, root of the meetings that have members of more than one group; of those, the shingles of large ones)."""
+def _open(met: DataFrame, roots: DataFrame, signs: DataFrame) -> tuple[DataFrame, list[int]]:
+    """(sh, node, n, at, root, sign of the meetings that have members of more than one group; of those, the shingles of large ones)."""
     rooted = met.join(materialize(roots, "near-roots").hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = materialize(rooted.select("sh", "node", "n", "at", "root"), "near-rooted")
     open_ = rooted.groupBy("sh").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("m")).where("a < b")
     open_ = materialize(open_.select("sh", "m"), "near-open")
     hot = hot_keys(open_, "sh", "m", rooted.count(), share=0.001)
-    return rooted.join(open_.select("sh").hint("merge"), "sh", "left_semi"), hot
+    return rooted.join(open_.select("sh").hint("merge"), "sh", "left_semi").join(signs.hint("merge"), "node"), hot

@@ -59,3 +59,19 @@ def test_rows_that_share_a_doc_id_or_have_none(spark):
     got = [tuple(r) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()]
     left = [got.remove(r) or r for r in [rows[0], rows[2], rows[5], rows[7], rows[8], rows[11]]]
     assert len(left) == 6 and len(got) == 1 and got[0] in rows[3:5]
+
+
+def test_texts_of_common_passages_are_not_paired(spark, monkeypatch):
+    # no two alike, yet each passage is in half of the texts: without signs, pairs grow with the square of their number
+    rng = np.random.default_rng(7)
+    passages = [" ".join(str(rng.integers(10**9)) for _ in range(30)) for _ in range(8)]
+    texts = [" ".join([passages[j] for j in rng.permutation(8)[:4]] + [str(rng.integers(10**9)) for _ in range(60)]) for _ in range(200)]
+    sets = [near_copies.shingle_set(t) for t in texts]
+    words = [np.frombuffer(near_copies.sign(h), np.uint64) for h in sets]
+    for a, b in itertools.combinations(range(60), 2):
+        apart = len(np.setxor1d(sets[a], sets[b]))
+        assert np.bitwise_count(words[a] ^ words[b]).sum() <= apart
+    held, was = [], near_copies._alike
+    monkeypatch.setattr(near_copies, "_alike", lambda pairs, *more: held.append(pairs.count()) or was(pairs, *more))
+    assert near_copies.groups(spark.createDataFrame(list(enumerate(texts)), "node long, text string")).count() == 0
+    assert sum(held[1:]) < 200
