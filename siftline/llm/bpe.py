@@ -13,10 +13,14 @@ from itertools import islice
 
 import numpy as np
 
-_PLAIN = re.compile("[\x21-\x7e\xa1-\u012f]+")
-_SPACE = "[\\s\x1c-\x1f\x85\xa0]"
-_LOOSE = re.compile(f"[ \n](?={_SPACE}| $)|[^\\S \n]| $|[\x1c-\x1f\x85\xa0]")
+_SIGNS = "!-/:-@\\[-`{-~"
+_LETTERS = "".join(c for c in map(chr, range(0x21, 0x130)) if c.isalpha())
+#: Line end, letters, ASCII signs up to the chunk's end: any pre-tokenizer here cuts letters from the run of signs behind them.
+_WORD = re.compile(f"(\n?)([{_LETTERS}]+)([{_SIGNS}]*)")
+#: In a text with any of these a space or line end may go with what stands before it.
+_LOOSE = ("  ", " \n", "\n ", "\n\n", "\0", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"))
 _U4 = np.dtype("<u4")
+_BULK = 250
 
 
 class ChunkEncoder:
@@ -33,94 +37,101 @@ class ChunkEncoder:
         self.words = not any("Ċ" in t for t in probe)
         self.lead = "" if self.words else " "
         self.newline = None if self.words else self._ids("\n")[0]
-        if self.words:
-            vocab = self.tok.get_vocab()
-            self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
-            for t, i in vocab.items():
-                self.ends[i] = t.endswith("</w>")
+        vocab = self.tok.get_vocab()
+        self.edges = np.zeros(max(vocab.values()) + 1, dtype=bool)  # ids that end a word, or begin one after a space
+        for t, i in vocab.items():
+            self.edges[i] = t.endswith("</w>") if self.words else t.startswith("Ġ")
         self.newline_bytes = np.array([self.newline or 0], dtype=_U4).tobytes()
         self.chunks: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {"": b""}
 
     def _ids(self, text: str) -> list[int]:
         return self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def _alone(self, text: str) -> bytes:
-        return np.array(self._ids(text), dtype=_U4).tobytes()
+    def _alone(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, dtype=_U4).tobytes() for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _bulk(self, some: list[str], lead: str) -> list[bytes]:
-        """ids of many chunks without inner space by one call; an id that ends each of them tells where to cut."""
+        """ids of many words by one call; an id that ends or begins each of them tells where to cut."""
+        gap = 0
         if self.words:
             ids = np.array(self._ids(" ".join(some)), dtype=_U4)
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            cuts = [0, *(stops * 4).tolist()]
-            gap = 0
+            cuts = [0, *((np.flatnonzero(self.edges[ids]) + 1) * 4).tolist()]
+        elif lead:
+            ids = np.array(self._ids(lead + lead.join(some)), dtype=_U4)
+            cuts = [*(np.flatnonzero(self.edges[ids]) * 4).tolist(), len(ids) * 4]
         else:
-            ids = np.array(self._ids(lead + ("\n" + lead).join(some)), dtype=_U4)
-            stops = np.append(np.flatnonzero(ids == self.newline), len(ids))
-            cuts = [-4, *(stops * 4).tolist()]
+            ids = np.array(self._ids("\n".join(some)), dtype=_U4)
+            cuts = [-4, *(np.flatnonzero(ids == self.newline) * 4).tolist(), len(ids) * 4]
             gap = 4
-        if len(stops) != len(some):
-            return [self._alone(lead + c) for c in some]
+        if len(cuts) != len(some) + 1:
+            return self._alone([lead + c for c in some])
         data = ids.tobytes()
         return [data[a + gap : b] for a, b in zip(cuts, cuts[1:])]
 
-    def _learn(self, new: list[str], put: dict[str, bytes]) -> None:
-        """Letters and the sign that closes them are always cut apart, so words are encoded without it."""
+    def _learn(self, new: list[str]) -> None:
+        """Letters and the signs that close them are always cut apart, so words are encoded without them."""
         known, stems, made, rest = self.chunks, ({}, {}), [], []
+        match = _WORD.fullmatch
         for c in new:
-            nl = not self.words and c[:1] == "\n"
-            core = c[1:] if nl else c
-            tail = core[-1:] if core[-1:] in (".", ",", ";", ":", "!", "?") else ""
-            stem = core[: len(core) - len(tail)]
-            if stem.isalpha() and _PLAIN.fullmatch(core):
-                if ("\n" + stem if nl else stem) not in known:
-                    stems[nl][stem] = None
-                made.append((c, nl, stem, tail))
-            else:
+            m = match(c)
+            if m is None:
                 rest.append(c)
+                continue
+            nl, stem, tail = m.groups()
+            key = nl + stem
+            if key not in known:
+                stems[bool(nl)][stem] = None
+            if tail:
+                made.append((c, key, tail))
         for nl in (False, True):
             todo = list(stems[nl])
-            for at in range(0, len(todo), 1000):
-                some = todo[at : at + 1000]
+            for at in range(0, len(todo), _BULK):
+                some = todo[at : at + _BULK]
                 got = self._bulk(some, "" if nl else self.lead)
-                put.update(zip(("\n" + x for x in some), (self.newline_bytes + x for x in got)) if nl else zip(some, got))
-        for c, nl, stem, tail in made:
-            if tail:
-                key = "\n" + stem if nl else stem
-                x = put.get(key)
-                put[c] = (known[key] if x is None else x) + self._tail(tail)
-        for c in rest:
-            put[c] = self._alone(c if c[:1] == "\n" else self.lead + c) if c else b""
-
-    def _tail(self, sign: str) -> bytes:
-        got = self.chunks.get("\0" + sign)
-        if got is None:
-            got = self.chunks["\0" + sign] = self._alone(sign)
-        return got
+                known.update(zip(("\n" + x for x in some), (self.newline_bytes + x for x in got)) if nl else zip(some, got))
+        tails = self.tails
+        unseen = list({t for _, _, t in made}.difference(tails))
+        tails.update(zip(unseen, self._alone(unseen)))
+        for c, key, tail in made:
+            known[c] = known[key] + tails[tail]
+        for at in range(0, len(rest), 1000):
+            some = rest[at : at + 1000]
+            known.update(zip(some, self._alone([c if c[:1] in ("\n", "") else self.lead + c for c in some])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        split: dict[int, list[str]] = {}
+        if len(self.chunks) > self.limit:  # the oldest chunks are the frequent ones
+            self.chunks = dict(islice(self.chunks.items(), self.limit // 2))
+        if len(self.tails) > self.limit:
+            self.tails = {"": b""}
+        out, whole, spans, firsts, flat = [b""] * len(texts), [], [], [], []
         for i, t in enumerate(texts):
             if not t:
-                out[i] = b""
-            elif self.words:
-                split[i] = t.replace("\n", " ").split(" ")
-            elif not _LOOSE.search(t) and "\0" not in t:
-                split[i] = t.replace("\n", " \n").split(" ")
+                continue
+            if self.words:
+                parts = t.replace("\n", " ").split(" ")
+            elif t[-1] == " " or any(map(t.__contains__, _LOOSE)):
+                whole.append(i)
+                continue
             else:
-                out[i] = self._alone(t)
-        known, need = self.chunks, set()
-        for s in split.values():
-            need.update(s if self.words else s[1:])
-        new = need.difference(known)
-        if len(known) > self.limit:  # the oldest chunks are the frequent ones
-            known = self.chunks = dict(islice(known.items(), self.limit // 2))
-            new = need.difference(known)
-        self._learn(list(new), known)
-        get = known.__getitem__
-        for i, s in split.items():  # the first chunk has no space before it
-            out[i] = b"".join(map(get, s)) if self.words else (self._alone(s[0]) if s[0] else b"") + b"".join(map(get, s[1:]))
+                parts = t.replace("\n", " \n").split(" ")
+                firsts.append(parts[0])  # no space before it
+                parts[0] = ""
+            spans.append((i, len(flat), len(flat) + len(parts)))
+            flat += parts
+        got = list(map(self.chunks.get, flat))
+        unknown = [j for j, x in enumerate(got) if x is None]
+        if unknown:
+            self._learn(list(dict.fromkeys(flat[j] for j in unknown)))
+            for j in unknown:
+                got[j] = self.chunks[flat[j]]
+        if firsts:
+            for (_, a, _), x in zip(spans, self._alone(firsts)):
+                got[a] = x
+        for i, a, b in spans:
+            out[i] = b"".join(got[a:b])
+        for i, x in zip(whole, self._alone([texts[i] for i in whole])):
+            out[i] = x
         return out
 
 

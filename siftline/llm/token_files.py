@@ -31,6 +31,9 @@ from .common import bucket_of, ordered_bounds, partitions, scratch_path, text_or
 MAGIC, BLOCK, ESCAPE = b"S8B1", 1024, 15
 #: ids a word holds, by selector 1 to 14; selector 0 is unused.
 COUNTS = (0, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
+_TAKES = np.array([*COUNTS, 1], np.int32)
+#: Ids of selector s and below are under _LIMITS[s - 1].
+_LIMITS = np.array([1 << (60 // c) for c in COUNTS[1:]], np.uint64)
 SEGMENT_IDS = 1 << 18
 _HEAD = struct.Struct("<4sIQIIB7x")
 
@@ -41,19 +44,22 @@ def pack_words(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
     if not n:
         return np.zeros(0, "<u8"), np.zeros(1, "<u4"), False
     v = ids.astype(np.uint64)
-    take, sel = np.full(n, 1, np.int32), np.full(n, 14, np.uint8)
-    big = v >= np.uint64(1 << 60)
-    at = np.arange(n, dtype=np.int32)
-    left = np.minimum(BLOCK - at % BLOCK, n - at)
-    for s in range(13, 0, -1):
+    need = np.searchsorted(_LIMITS, v, side="right").astype(np.uint8)  # the narrowest selector, less one
+    sel = np.where(need < 14, 14, ESCAPE).astype(np.uint8)
+    big = need == 14
+    left = (BLOCK - np.arange(n) % BLOCK).astype(np.int16)
+    widest, had = need, 1
+    for s in range(13, 0, -1):  # the widest of c ids from each on, by two windows of the count before
         c = COUNTS[s]
-        fits = v < np.uint64(1 << (60 // c))
-        if np.count_nonzero(fits) < c:
-            continue
-        stop = np.minimum.accumulate(np.where(fits, n, at)[::-1])[::-1]
-        ok = (stop - at >= c) & (left >= c)
-        take[ok], sel[ok] = c, s
-    sel[big] = ESCAPE
+        if c > n:
+            break
+        widest = np.maximum(widest[: n - c + 1], widest[c - had :])
+        ok = (widest < s) & (left[: n - c + 1] >= c)
+        if not ok.any():
+            break
+        sel[: n - c + 1][ok] = s
+        had = c
+    take = _TAKES[sel]
     starts = np.arange(0, n, BLOCK, dtype=np.int64)
     ends, cur, chains = np.minimum(starts + BLOCK, n), starts.copy(), []
     live = np.arange(len(starts))
@@ -61,7 +67,9 @@ def pack_words(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
         chains.append(cur[live].copy())
         cur[live] += take[cur[live]]
         live = live[cur[live] < ends[live]]
-    first = np.sort(np.concatenate(chains))
+    is_first = np.zeros(n, bool)
+    is_first[np.concatenate(chains)] = True
+    first = np.flatnonzero(is_first)
     s, wide = sel[first], big[first]
     width = np.array([0, *(60 // c for c in COUNTS[1:]), 0], np.uint64)
     slots = 1 + wide.astype(np.int64)
@@ -70,8 +78,10 @@ def pack_words(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
     words[pos] = s.astype(np.uint64) << np.uint64(60)
     for k in np.unique(s[~wide]):
         rows = np.flatnonzero((s == k) & ~wide)
+        at, word = first[rows], words[pos[rows]]
         for j in range(COUNTS[k]):
-            words[pos[rows]] |= v[first[rows] + j] << np.uint64(j * int(width[k]))
+            word |= v[at + j] << np.uint64(j * int(width[k]))
+        words[pos[rows]] = word
     words[pos[wide] + 1] = v[first[wide]]
     offsets = np.append(pos[np.searchsorted(first, starts)], len(words)).astype("<u4")
     return words, offsets, bool(wide.any())
@@ -160,8 +170,8 @@ def write_token_files(df: DataFrame, tokenizer: str, path: str, end_id: int = 2,
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seg": pa.array([seg], pa.int32()), "first": pa.array([first], pa.int64()), "n_ids": pa.array([n], pa.int64()), "n_docs": pa.array([len(docs)], pa.int64()), "data": pa.array([data], pa.binary())})
 
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                some = b.slice(lo, 256)
+            for lo in range(0, b.num_rows, 64):
+                some = b.slice(lo, 64)
                 for d, x in zip(some.column(0).to_pylist(), enc.encode(some.column(1).to_pylist())):
                     k = len(x) // 4 + 1
                     if n and n + k > SEGMENT_IDS:

@@ -83,3 +83,29 @@ def test_layout_meets_demand_near_the_bound():
         assert (sum(p * k for p, k in plan) == demand).all()
         assert all((p * np.arange(1, 65)).sum() <= 64 for p, _ in plan)
         assert sum(k for _, k in plan) <= 1.03 * (demand * np.arange(1, 65)).sum() / 64 + 12
+
+
+def test_a_batch_takes_few_calls_of_the_tokenizer():
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
+    texts = [" ".join(word() + str(rng.choice(["$$$", "),", "-x1", "42", "é.", '."'])) for _ in range(20)) for _ in range(100)]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        enc, calls = bpe.ChunkEncoder(bpe.public_path(name)), []
+        real = enc.tok
+        whole = [x.ids for x in real.encode_batch_fast(texts, add_special_tokens=False)]
+
+        class Counted:
+            def encode_batch_fast(self, some, **named):
+                calls.append(len(some))
+                return real.encode_batch_fast(some, **named)
+
+        enc.tok = Counted()
+        assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == whole
+        assert len(calls) <= 20
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_a_sign_behind_a_word_is_not_taken_for_a_chunk(name):
+    enc = bpe.ChunkEncoder(bpe.public_path(name))
+    for t in ("ab. cd, ef", "\0.", "x \0, y", "\0"):
+        assert np.frombuffer(enc.encode([t])[0], "<u4").tolist() == ids_of(name, t)
