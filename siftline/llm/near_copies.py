@@ -1,6 +1,8 @@
 """Groups of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Complete by prefix filtering: put every text's n shingles in one global order, and two texts of similarity
+SimHash anchors of the sets' fingerprints (simhash_dedup.py) give the first candidates, which reach what is alike within
+3 bits; they are compared by their whole sets like all others, so they link nothing that is less alike. The rest is
+found by prefix filtering, which is complete by itself: put every text's n shingles in one global order, and two texts of similarity
 s share a shingle among the first n - ceil(s n) + 1 of each. Shingles that a bounded draw of texts shows often
 come last in that order, so boilerplate rarely stands in a prefix; any order is complete, the draw only
 saves work. Texts that meet at a shingle, and whose lengths, positions and signs allow s, are compared by their whole
@@ -25,6 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import hot_keys, materialize, partitions
 from .components import components
+from .simhash_dedup import near_pairs
 from .shingles import ascii_words, shingle_hashes
 
 WORDS, LEAST = 5, 0.8
@@ -211,7 +214,8 @@ def groups(texts: DataFrame, words: int = WORDS, least: float = LEAST) -> DataFr
     signs, post = post.where("sign IS NOT NULL").select("node", "sign"), post.drop("sign")
     often = materialize(post.groupBy("sh").agg(F.count("*").alias("m")).where("m > 1"), "near-meetings")
     met = materialize(post.join(often.select("sh").hint("merge"), "sh", "left_semi"), "near-met")
-    pairs = materialize(_held(met.withColumns({"turn": F.lit(0).cast("long"), "root": F.col("node")}), least, 1, hot_keys(often, "sh", "m", met.count(), share=0.001)), "near-pairs")
+    held = _held(met.withColumns({"turn": F.lit(0).cast("long"), "root": F.col("node")}), least, 1, hot_keys(often, "sh", "m", met.count(), share=0.001))
+    pairs = materialize(held.unionByName(near_pairs(texts, words)).distinct(), "near-pairs")
     links = _alike(pairs, texts, words, least, "near-links")
     for turn, pivots in ((F.xxhash64("node"), PIVOTS[0]), (-F.coalesce("degree", F.lit(0)), PIVOTS[1])):
         left, hot = _open(met, components(links), signs)

@@ -122,6 +122,26 @@ def links(distinct: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_meet, "u long, v long")
 
 
+def near_pairs(texts: DataFrame, k: int = WORDS) -> DataFrame:
+    """u, v: links that connect all texts whose fingerprints chains of `RADIUS` bits connect. `texts`: node (long, unique), text (not null)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = [signed(majority(t, k)) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], names=["node", "fp"])
+
+    fps = materialize(texts.select("node", "text").mapInArrow(run, "node long, fp long"), "simhash")
+    classes = materialize(fps.groupBy("fp").agg(F.min("node").alias("first"), F.count("*").alias("n")), "simhash-classes")
+    firsts = classes.select("fp", "first").hint("merge")
+    between = materialize(links(classes).distinct(), "simhash-links")
+    for end, other in (("u", "v"), ("v", "u")):
+        often = between.groupBy(end).agg(F.count("*").alias("n"))
+        between = salted_join(between, firsts.withColumnsRenamed({"fp": end, "first": f"{end}_first"}), end, hot_keys(often, end, "n", between.count()), F.col(other), how="inner")
+    equal = salted_join(fps, firsts, "fp", hot_keys(classes, "fp", "n", fps.count()), F.col("node"), how="inner").where("node <> first")
+    both = between.select(F.col("u_first").alias("first"), F.col("v_first").alias("node")).unionByName(equal.select("first", "node"))
+    return both.select(F.least("first", "node").alias("u"), F.greatest("first", "node").alias("v"))
+
+
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS) -> DataFrame:
     """doc_id, fingerprint, component_id for each row."""
 

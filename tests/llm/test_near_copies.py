@@ -3,7 +3,7 @@ import itertools
 import numpy as np
 
 import corpus_pipeline
-from siftline.llm import near_copies
+from siftline.llm import near_copies, simhash_dedup
 
 
 def edited(rng, words, share):
@@ -76,3 +76,20 @@ def test_texts_of_common_passages_are_not_paired(spark, monkeypatch):
     monkeypatch.setattr(near_copies, "_alike", lambda pairs, *more: held.append(pairs.count()) or was(pairs, *more))
     assert near_copies.groups(spark.createDataFrame(list(enumerate(texts)), "node long, text string")).count() == 0
     assert sum(held[1:]) < 200
+
+
+def test_anchors_give_candidates_that_whole_sets_confirm(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    base = [[str(rng.integers(10**9)) for _ in range(400)] for _ in range(6)]
+    texts = [" ".join(w) for w in base] + [" ".join(w[:200] + ["other"] + w[201:]) for w in base] + ["one two", "ONE two ", ""]
+    fps = [simhash_dedup.majority(t, near_copies.WORDS) for t in texts]
+    near = {(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if (fps[i] ^ fps[j]).bit_count() <= 3}
+    assert len(near & {(i, i + 6) for i in range(6)}) >= 3
+    rows = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    none = spark.createDataFrame([], "sh long, node long, n int, at int, sign binary")
+    monkeypatch.setattr(near_copies, "_postings", lambda *_: none)  # no candidates by prefixes
+    roots = {r.node: r.root for r in near_copies.groups(rows).collect()}
+    assert roots == {x: i for i, j in near for x in (i, j)}
+    monkeypatch.setattr(simhash_dedup, "majority", lambda *_: 0)  # all fingerprints are equal, the texts are not
+    assert {r.node: r.root for r in near_copies.groups(rows).collect()}.get(1, 1) == 1
+    assert simhash_dedup.near_pairs(rows).count() == len(texts) - 1
