@@ -35,6 +35,8 @@ _TAKES = np.array([*COUNTS, 1], np.int32)
 #: Ids of selector s and below are under _LIMITS[s - 1].
 _LIMITS = np.array([1 << (60 // c) for c in COUNTS[1:]], np.uint64)
 SEGMENT_IDS = 1 << 18
+#: Bytes of text a part holds at least, on average.
+PART_BYTES = 1 << 22
 _HEAD = struct.Struct("<4sIQIIB7x")
 
 
@@ -154,9 +156,9 @@ def read_block(data: bytes, block: int) -> np.ndarray:
 
 
 def write_token_files(df: DataFrame, tokenizer: str, path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Encode texts in ascending id order into segments under `path`. One shuffle of (id, text)."""
-    spark = df.sparkSession
-    bounds = ordered_bounds(df, id_col, partitions(spark))
+    """Encode texts in ascending id order into segments under `path`. One shuffle of (id, text); small tables make few parts."""
+    size = df.agg(F.sum(F.octet_length(text_or_empty(text_col)))).first()[0] or 0
+    bounds = ordered_bounds(df, id_col, min(partitions(df.sparkSession), size // PART_BYTES + 1))
     slim = df.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     laid = slim.repartitionById(len(bounds) + 1, bucket_of(F.col("doc_id"), bounds)).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
 

@@ -57,6 +57,22 @@ def test_files_give_back_every_id(docs, empty):
     assert token_files.token_digest(empty).count() == 0
 
 
+def test_a_small_table_makes_few_parts(spark, docs, monkeypatch):
+    """Each file costs its executor a fork; a part holds PART_BYTES of text, however many partitions are set."""
+    want = sorted(map(str, token_files.token_digest(docs).drop("part", "seg").collect()))
+    size = sum(len((r["text"] or "").encode()) for r in docs.select("text").collect())
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        for least, parts in ((1 << 22, 1), (size // 3, 4)):
+            monkeypatch.setattr(token_files, "PART_BYTES", least, raising=False)
+            got = token_files.token_digest(docs).cache()
+            assert 1 <= got.select("part").distinct().count() <= parts
+            assert sorted(map(str, got.drop("part", "seg").collect())) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+
+
 def test_packing_is_whole_and_tight(docs, empty):
     got = packing.pack(docs, seq_len=256).collect()
     per_seq = {}
