@@ -159,6 +159,28 @@ def test_nearest_against_brute_force(spark):
     assert ann.nearest(v.where("false")).count() == 0
 
 
+def test_introductions_are_sent_only_if_they_can_change_a_list(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1200, 16)).astype(np.float32)
+    nodes = ann.make_nodes(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>"), 20)
+    best, rows = ann._best, []
+
+    def counted(edges, degree):
+        rows.append(edges.count())
+        return best(edges, degree)
+
+    monkeypatch.setattr(ann, "_best", counted)
+    graph = ann.build(nodes, still=0.0005).toPandas()
+    lists = len(x) * 32
+    assert len(graph) == lists and len(rows) > 3
+    assert rows[-1] - lists < (rows[1] - lists) / 20  # the last round repeats next to nothing
+    top = float((x.astype(float) ** 2).sum(axis=1).max())
+    y = ann._lifted(x, top)
+    near = ((y[:, None, :] - y[None, :, :]) ** 2).sum(axis=2) + np.diag(np.full(len(x), np.inf))
+    want = {(i, j) for i in range(len(x)) for j in np.argsort(near[i])[:32].tolist()}
+    assert len(want & set(zip(graph["node"], graph["nbr"]))) > 0.98 * lists
+
+
 def test_nearest_with_widely_spread_norms_and_repeated_ids(spark):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(1200, 24)).astype(np.float32)
