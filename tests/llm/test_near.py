@@ -3,6 +3,7 @@ import hashlib
 import itertools
 import math
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -173,6 +174,27 @@ def test_repeats_among_texts_of_one_doc_id(spark):
     assert sorted(map(tuple, got), key=key) == sorted((want[r] for r in rows), key=key)
 
 
+def test_names_and_anchors_are_made_in_small_blocks():
+    """The whole names and anchors of a full buffer, without further arrays of its size on the way."""
+    buf = np.random.default_rng(4).integers(97, 100, suffix_dedup.SEGMENT - 1).astype(np.uint8)
+    ends = np.array([len(buf)])
+    tracemalloc.start()
+    at, lo, hi, name, _ = suffix_dedup.runs(buf, ends)
+    h = suffix_dedup.names(buf)
+    tracemalloc.reset_peak()
+    before = tracemalloc.get_traced_memory()[0]
+    assert (suffix_dedup.names(buf) == h).all()
+    peak = tracemalloc.get_traced_memory()[1] - before
+    tracemalloc.stop()
+    assert peak < 2 * h.nbytes
+    rough = np.uint64(suffix_dedup.SEGMENT - 1)
+    key = (h & ~rough) | np.arange(len(h), dtype=np.uint64)
+    start = np.concatenate([np.arange(a - d, a - c + 1) for a, c, d in zip(at, lo, hi)])
+    assert (start == np.arange(len(buf) - suffix_dedup.LEAST + 1)).all()
+    least = np.lib.stride_tricks.sliding_window_view(key, suffix_dedup.SPAN).argmin(axis=1) + start
+    assert (np.repeat(at, hi - lo + 1) == least).all() and (name == h[at]).all()
+
+
 def test_range_ends_join_ranks():
     import pyarrow as pa
 
