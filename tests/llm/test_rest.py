@@ -181,6 +181,49 @@ def test_introductions_are_sent_only_if_they_can_change_a_list(spark, monkeypatc
     assert len(want & set(zip(graph["node"], graph["nbr"]))) > 0.98 * lists
 
 
+def _join_rows(plan):
+    """Rows that each join of a plan made when it ran."""
+    name = plan.nodeName()
+    if name == "AdaptiveSparkPlan":
+        return _join_rows(plan.executedPlan())
+    if name.endswith("QueryStage"):
+        return _join_rows(plan.plan())
+    below = [n for i in range(plan.children().size()) for n in _join_rows(plan.children().apply(i))]
+    return below + ([plan.metrics().apply("numOutputRows").value()] if "Join" in name else [])
+
+
+def test_a_round_of_search_copies_only_open_queries_and_joins_no_copies(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(300, 8)).astype(np.float32)
+    near = np.argsort(((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2), axis=1)[:, 1:7]
+    nodes = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "node long, embedding array<float>").cache()
+    links = spark.createDataFrame([(i, int(j)) for i in range(300) for j in near[i]], "node long, nbr long")
+    queries = nodes.where("node % 20 = 0").selectExpr("node AS query", "embedding", "node AS entry")
+    frame, rounds = type(nodes), []
+    dealt = frame.repartitionById
+
+    def seen(laid, *args):
+        rows = laid.collect()
+        rounds.append(([r.node for r in rows if r.who is None], {q for r in rows if r.who is not None for q in r.who}, _join_rows(laid._jdf.queryExecution().executedPlan())))
+        return dealt(laid, *args)
+
+    def found(n):
+        was = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        try:
+            return {tuple(r) for r in ann.search(nodes, links, queries, beam=16, width=8, pivots=4).collect()}
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", was)
+
+    few = found(2)
+    monkeypatch.setattr(frame, "repartitionById", seen)
+    assert found(32) == few and len(few) == 15 * 16
+    assert len(rounds) > 2 and len(set(rounds[-1][0])) < 15  # some settle before others
+    for copies, asking, joined in rounds:
+        assert len(copies) <= 300 and asking <= set(copies)
+        assert joined and max(joined) <= 300
+
+
 def test_nearest_with_widely_spread_norms_and_repeated_ids(spark):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(1200, 24)).astype(np.float32)
