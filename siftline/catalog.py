@@ -196,8 +196,12 @@ def none_rank_asc(spark, sf_dir):
     return _top(_match(spark, sf_dir, "the of").withColumn("score", score.simple("none", "asc")), order="asc")
 
 
+def _usage(spark, sf_dir):
+    return store.usage_scores(S.usage_reports(spark, sf_dir), ["doc_id"], None)
+
+
 def _used(spark, sf_dir):
-    return _match(spark, sf_dir, "the").join(store.usage_scores(S.usage_reports(spark, sf_dir), ["doc_id"]), "doc_id", "left")
+    return _match(spark, sf_dir, "the").join(_usage(spark, sf_dir), "doc_id", "left")
 
 
 _USED = "(SELECT alive.*, cnt1, cnt2, cnt3, last1_s, last2_s, last3_s FROM alive LEFT JOIN us USING (doc_id)) u"
@@ -374,7 +378,7 @@ def upsert_latest(spark, sf_dir):
 
 @register(f"{_BASE} SELECT * FROM us")
 def usage_agg(spark, sf_dir):
-    return store.usage_scores(S.usage_reports(spark, sf_dir), ["doc_id"])
+    return _usage(spark, sf_dir)
 
 
 @register(f"{_BASE} SELECT doc_id AS old_doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS doc_id FROM alive")
@@ -392,7 +396,7 @@ _ALIVE = f"(ttl_ms = 0 OR {NOW} < creation_ts_ms + ttl_ms)"
 
 @register(f"{_BASE} SELECT namespace, count(*) FILTER ({_ALIVE}) AS alive, count(*) FILTER (NOT {_ALIVE}) AS expired, CAST(0 AS BIGINT) AS deleted, " + ", ".join(f"count(*) FILTER ({_ALIVE} AND cnt{t} > 0) AS alive_type{t}, count(*) FILTER (NOT {_ALIVE} AND cnt{t} > 0) AS expired_type{t}" for t in (1, 2, 3)) + " FROM d LEFT JOIN us USING (doc_id) GROUP BY namespace")
 def storage_info(spark, sf_dir):
-    return store.storage_info(S.documents(spark, sf_dir), NOW, store.usage_scores(S.usage_reports(spark, sf_dir), ["doc_id"]))
+    return store.storage_info(S.documents(spark, sf_dir), NOW, _usage(spark, sf_dir))
 
 
 @register(f"{_BASE} SELECT term, count(DISTINCT doc_id) AS hits FROM post WHERE starts_with(term, 'an') AND namespace IN ('src0', 'src1') GROUP BY term ORDER BY term LIMIT 20")
@@ -468,7 +472,7 @@ def usage_carry(spark, sf_dir):
     d = S.documents(spark, sf_dir).select("doc_id", "namespace", (F.col("doc_id") % 50).cast("string").alias("uri"))
     log = d.withColumns({"put_ms": F.col("doc_id") * 1000, "fresh": F.col("doc_id") % 3 == 0})
     reports = S.usage_reports(spark, sf_dir).join(d, "doc_id").drop("doc_id").withColumn("reported_ms", F.col("usage_timestamp_ms") % 1_000_000)
-    return store.carry_usage(log, reports).select("doc_id", *(f"{c}{t}{x}" for t in store.TYPES for c, x in (("cnt", ""), ("last", "_s"))))
+    return store.carry_usage(log, reports, None).select("doc_id", *(f"{c}{t}{x}" for t in store.TYPES for c, x in (("cnt", ""), ("last", "_s"))))
 
 
 @register("SELECT conv_id AS doc_id, list(role ORDER BY turn) AS roles, true AS texts_gone FROM conversations GROUP BY conv_id")

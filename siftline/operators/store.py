@@ -81,28 +81,29 @@ def delete_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return hit.withColumn("deleted", F.col("deleted") | F.coalesce("_gone", F.lit(False))).drop("_gone")
 
 
-def usage_scores(reports: DataFrame, keys: list[str]) -> DataFrame:
-    """Counts (saturating) and last-used seconds by type; order of arrival does not matter."""
+def usage_scores(reports: DataFrame, keys: list[str], latest_s: int | None = UINT_MAX) -> DataFrame:
+    """Counts (saturating) and last-used seconds by type (saturating at latest_s, if given); order of arrival does not matter."""
     out = []
     for t in TYPES:
         own = F.col("usage_type") == t
         out.append(F.least(F.count_if(own), F.lit(INT_MAX)).alias(f"cnt{t}"))
         seconds = F.floor(F.col("usage_timestamp_ms") / 1000).cast("long")
-        out.append(F.least(F.coalesce(F.max(F.when(own, seconds)), F.lit(0)), F.lit(UINT_MAX)).alias(f"last{t}_s"))
+        last = F.coalesce(F.max(F.when(own, seconds)), F.lit(0).cast("long"))
+        out.append((last if latest_s is None else F.least(last, F.lit(latest_s))).alias(f"last{t}_s"))
     return reports.groupBy(*keys).agg(*out)
 
 
-def carry_usage(log: DataFrame, reports: DataFrame) -> DataFrame:
+def carry_usage(log: DataFrame, reports: DataFrame, latest_s: int | None = UINT_MAX) -> DataFrame:
     """Usage of each generation: a re-put clones what its key had, unless the key was deleted first.
 
     `log` has doc_id, namespace, uri, put_ms and fresh (true if the key was deleted before this put).
     """
-    start = F.sum(F.col("fresh").cast("int")).over(Window.partitionBy("namespace", "uri").orderBy("doc_id"))
-    eras = log.withColumn("_era", start)
+    start = F.sum(F.col("fresh").cast("int")).over(Window.partitionBy("namespace", "uri").orderBy(F.col("doc_id").asc_nulls_last()))
+    eras = log.withColumn("_era", F.coalesce(start, F.lit(0)))
     first = eras.groupBy("namespace", "uri", "_era").agg(F.min("put_ms").alias("_from"))
     bounds = first.withColumn("_to", F.lead("_from").over(Window.partitionBy("namespace", "uri").orderBy("_era")))
     mine = reports.join(bounds, ["namespace", "uri"]).where((F.col("reported_ms") >= F.col("_from")) & (F.col("_to").isNull() | (F.col("reported_ms") < F.col("_to"))))
-    scores = usage_scores(mine, ["namespace", "uri", "_era"])
+    scores = usage_scores(mine, ["namespace", "uri", "_era"], latest_s)
     return eras.join(scores, ["namespace", "uri", "_era"], "left").na.fill(ZERO_USAGE).drop("_era")
 
 

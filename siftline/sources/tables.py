@@ -5,8 +5,9 @@ from __future__ import annotations
 import atexit
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftline.operators import index
 from siftline.operators.schema import Section
@@ -72,8 +73,18 @@ def usage_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id = user_id; view, click and purchase are the types 1 to 3."""
     e = read(spark, sf_dir, "events")
     kind = F.when(F.col("event_type") == "view", 1).when(F.col("event_type") == "click", 2).when(F.col("event_type") == "purchase", 3)
-    ms = F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))")
-    return e.select(F.col("user_id").alias("doc_id"), kind.alias("usage_type"), ms.alias("usage_timestamp_ms")).where("usage_type IS NOT NULL")
+    micros = epoch_micros(F.col("ts"), e.schema["ts"].dataType)
+    ms = F.expr("(us - pmod(us, 1000)) div 1000")
+    return e.select(F.col("user_id").alias("doc_id"), kind.alias("usage_type"), micros.alias("us")).where("usage_type IS NOT NULL").select("doc_id", "usage_type", ms.alias("usage_timestamp_ms"))
+
+
+def epoch_micros(c: Column, kind: T.DataType) -> Column:
+    """Microseconds since 1970, whatever the session's time zone: of the instant, or of a clock without zone taken as UTC."""
+    if not isinstance(kind, T.TimestampNTZType):
+        return F.unix_micros(c)
+    # timestampdiff and casts to an instant would go by the session's zone
+    seconds = F.datediff(c.cast("date"), F.lit("1970-01-01").cast("date")).cast("long") * 86_400 + F.hour(c) * 3600 + F.minute(c) * 60
+    return seconds * 1_000_000 + (F.extract(F.lit("SECOND"), c) * 1_000_000).cast("long")
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
