@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 #: Word breaks: letters joined by . : ' ’ , digits joined by . , ; ' , underscores, and sign tokens.
 #: No look-around, so Java and RE2 agree.
 RX = r"(?:[\p{L}\p{M}\p{N}_]*(?:[\p{L}\p{M}](?:[.:'’][\p{L}\p{M}])+|\p{N}(?:[.,;']\p{N})+))+[\p{L}\p{M}\p{N}_]*|[\p{L}\p{M}\p{N}_]+|[$+<=>^`|~]"
+#: The same tokens for Java alone, without a step back: runs of letters, digits or underscores, a sign between two of a kind.
+_L, _N = r"[a-z\p{L}\p{M}]++", r"[0-9\p{N}]++"
+JAVA_RX = rf"(?:{_L}(?:[.:'’]{_L})*+|{_N}(?:[.,;']{_N})*+|_++)++|[$+<=>^`|~]"
 FROM = "áàâäãåāăąçćčĉċďđéèêëēĕėęěğĝġģĥíìîïĩīĭįĵķĺļľłñńņňóòôöõōŏőŕŗřśŝşšţťúùûüũūŭůűųŵýÿŷźżž"
 TO = "aaaaaaaaacccccddeeeeeeeeegggghiiiiiiiijklll" + "lnnnnoooooooorrrssssttuuuuuuuuuuwyyyzzz"
 #: Full-width signs and letters to ASCII, hiragana to katakana.
@@ -42,7 +45,7 @@ def cut_bytes(c: Column, n: int = MAX_TOKEN_BYTES) -> Column:
 
 def tokens(c: Column) -> Column:
     """Word and sign tokens of a text, in order; what starts with an underscore is punctuation."""
-    return F.filter(F.regexp_extract_all(c, F.lit(RX), F.lit(0)), lambda t: ~t.startswith("_"))
+    return F.filter(F.regexp_extract_all(c, F.lit(JAVA_RX), F.lit(0)), lambda t: ~t.startswith("_"))
 
 
 TOKENIZERS = {"plain": tokens, "verbatim": lambda c: F.array(c)}

@@ -26,3 +26,9 @@ def stamp(spark: SparkSession, path: str) -> tuple:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     s = p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p)
     return s.getLen(), s.getModificationTime()
+
+
+def size(spark: SparkSession, path: str) -> int:
+    """Bytes of a file or of all files below a folder."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()

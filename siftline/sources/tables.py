@@ -11,8 +11,9 @@ from pyspark.sql import types as T
 
 from siftline.operators import index
 from siftline.operators.schema import Section
-from siftline.sources.shared import shared_dir, stamp
+from siftline.sources.shared import shared_dir, size, stamp
 
+SORTED_BYTES = 8 << 20
 NOW_MS = 1_700_000_700_000
 SECTIONS = [Section("*", 0, "body", "prefix", "plain"), Section("*", 1, "subject", "exact", "plain")]
 
@@ -42,8 +43,15 @@ def _stored(spark: SparkSession, sf_dir: str) -> str:
         atexit.register(_forget, spark, at)
         index.section_tokens(documents(spark, sf_dir), SECTIONS).write.parquet(f"{at}/sections")
         parts = spark.read.parquet(f"{at}/sections")
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        index.write_postings(index.build_postings(parts), f"{at}/postings", n)
+        # written first, as dealing out by range reads its input three times
+        index.build_postings(parts).write.parquet(f"{at}/counted")
+        posts = spark.read.parquet(f"{at}/counted")
+        # a task sorts the postings of so many bytes of sections, whatever the size of the table
+        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size(spark, f"{at}/sections") // SORTED_BYTES))
+        if not parts.groupBy("doc_id", "section_id").count().where("count > 1").isEmpty():
+            posts = index.merge_repeated(posts)
+        index.write_postings(posts, f"{at}/postings", n, marks=True)
+        _forget(spark, f"{at}/counted")
         index.doc_lengths(documents(spark, sf_dir), parts).write.parquet(f"{at}/lengths")
         _built[key] = at
     return _built[key]
